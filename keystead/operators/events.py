@@ -144,12 +144,8 @@ def event_rows(events: DataFrame, listings: DataFrame) -> DataFrame:
     A price of NULL or 0 cents becomes NULL, as does a missing old price.
     """
     dollars = F.nullif(F.col("price_cents"), F.lit(0)) / 100
-    return listings.withColumn("price", dollars).join(
-        events.select(
-            "canonical_hash", "event_type", (F.col("old_price_cents") / 100).alias("old_price")
-        ),
-        "canonical_hash",
-    )
+    old = events.withColumn("old_price", F.col("old_price_cents") / 100).drop("old_price_cents")
+    return old.join(listings.withColumn("price", dollars).drop("price_cents"), "canonical_hash")
 
 
 # --- price history reports ---

@@ -63,7 +63,7 @@ FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_
 SELECT l_orderkey AS listing_id,
   {_case('l_suppkey % 5', SOURCES)} AS source,
   CASE WHEN l_partkey % 41 = 0 THEN NULL ELSE CAST(900 + floor(l_extendedprice / 20) AS int) END AS price,
-  ((year(l_shipdate) - 1995) * 372 + (month(l_shipdate) - 1) * 31 + day(l_shipdate)) * 2160 AS scraped_sec,
+  CAST(((year(l_shipdate) - 1995) * 372 + (month(l_shipdate) - 1) * 31 + day(l_shipdate)) * 2160 AS bigint) AS scraped_sec,
   l_linenumber, l_suppkey, l_partkey
 FROM {{lineitem}}""",
     "saved_searches": f"""
