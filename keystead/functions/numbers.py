@@ -35,9 +35,22 @@ def float_text(c: Column) -> Column:
     return F.when(t.rlike(_FLOAT_TEXT), t.try_cast("double"))
 
 
+# The characters Python's ``str.strip`` removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
     """Remove all leading and trailing white space (``trim`` drops only blanks)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def safe_float(c: Column) -> Column:

@@ -109,9 +109,8 @@ def train_undervalue(df: DataFrame, key: str = "id", trees: int = 200, seed: int
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=[f"f_{c}" for c in UNDERVALUE_FEATURES], outputCol="raw", handleInvalid="error"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True),
-        GBTRegressor(
-            maxIter=trees, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=seed, checkpointInterval=-1
-        ),
+        # lineage is cut every 10 trees where spark.checkpoint.dir is set
+        GBTRegressor(maxIter=trees, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=seed),
     ])
     model = pipe.fit(train)
     r2 = RegressionEvaluator(metricName="r2")
@@ -152,8 +151,7 @@ def train_rs(df: DataFrame, key: str = "id", trees: int = 200, seed: int = SEED)
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=[f"f_{c}" for c in RS_FEATURES], outputCol="features", handleInvalid="error"),
         RandomForestClassifier(
-            numTrees=trees, maxDepth=8, minInstancesPerNode=5, weightCol="weight", seed=seed,
-            cacheNodeIds=False,
+            numTrees=trees, maxDepth=8, minInstancesPerNode=5, weightCol="weight", seed=seed
         ),
     ])
     model = pipe.fit(_balanced(train))

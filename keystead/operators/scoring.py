@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numbers import py_round, strip
+from ..functions.numbers import let, py_round, strip
 from .comps import comps, with_comps
 from .register import register_match
 
@@ -121,22 +121,28 @@ def source_score(n: Column) -> Column:
 
 
 def description_score(description: Column) -> Column:
-    t = strip(description)
-    n = F.length(t)
-    size = (
-        F.when(n >= 800, 60.0)
-        .when(n >= 300, F.lit(40.0) + F.lit(20.0) * (n - 300) / 500.0)
-        .when(n >= 50, F.lit(40.0) * (n - 50) / 250.0)
-        .otherwise(0.0)
-    )
-    low = F.lower(t)
-    hits = sum((low.contains(w).cast("int") for w in FEATURE_WORDS), F.lit(0))
-    quality = (
-        F.when(t != F.upper(t), 10.0).otherwise(0.0)
-        + F.when(t.rlike("[.!]"), 10.0).otherwise(0.0)
-        + F.least(hits * 5.0, F.lit(20.0))
-    )
-    return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).otherwise(F.least(size + quality, F.lit(100.0)))
+    """0-100 from length, sentences and feature words of the whole text.
+
+    Trimmed and lower-cased forms of a long text are each made once.
+    """
+
+    def score(t: Column) -> Column:
+        n = F.length(t)
+        size = (
+            F.when(n >= 800, 60.0)
+            .when(n >= 300, F.lit(40.0) + F.lit(20.0) * (n - 300) / 500.0)
+            .when(n >= 50, F.lit(40.0) * (n - 50) / 250.0)
+            .otherwise(0.0)
+        )
+        hits = let(F.lower(t), lambda low: sum((low.contains(w).cast("int") for w in FEATURE_WORDS), F.lit(0)))
+        quality = (
+            F.when(t != F.upper(t), 10.0).otherwise(0.0)
+            + F.when(t.rlike("[.!]"), 10.0).otherwise(0.0)
+            + F.least(hits * 5.0, F.lit(20.0))
+        )
+        return F.when(n == 0, 0.0).otherwise(F.least(size + quality, F.lit(100.0)))
+
+    return F.coalesce(let(strip(description), score), F.lit(0.0))
 
 
 def quality_scores(df: DataFrame) -> DataFrame:
