@@ -29,9 +29,14 @@ def keep_last(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> Da
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def failure_streak(runs: DataFrame, time: str = "ts_sec", tie: str = "run_id", floor: int = HOT_FLOOR) -> DataFrame:
+def failure_streak(
+    runs: DataFrame, time: str = "ts_sec", tie: str = "run_id", floor: int = HOT_FLOOR, start: DataFrame | None = None
+) -> DataFrame:
     """Add ``streak``: consecutive failures of the source up to and with each run.
 
+    ``start`` (source, streak) gives the streaks the runs continue, one row per
+    source of the fixed source list.
+
     There are only a few sources, so each one is cut into time slices. Inside a
     slice the streak is a running count since the last success; a slice that has
     not seen a success yet continues the streak of the slices before, which comes
@@ -57,15 +62,19 @@ def failure_streak(runs: DataFrame, time: str = "ts_sec", tie: str = "run_id", f
     tails = tails.withColumn("_group", F.sum("any_win").over(by_seg.rowsBetween(W.unboundedPreceding, 0)))
     chain = W.partitionBy("source", "_group").orderBy("_seg").rowsBetween(W.unboundedPreceding, 0)
     tails = tails.withColumn("_out", F.sum("tail").over(chain))
-    carry = tails.select("source", "_seg", F.lag("_out", 1, 0).over(by_seg).alias("_carry"))
-    return (
-        cut.join(F.broadcast(carry), ["source", "_seg"], "left")
-        .withColumn(
-            "streak",
-            (F.col("_run") + F.when(F.col("_wins") == 0, F.coalesce("_carry", F.lit(0))).otherwise(0)).cast("bigint"),
-        )
-        .drop("_seg", "_hot", "_wins", "_run", "_carry")
+    carry = tails.select(
+        "source", "_seg", F.lag("_out", 1, 0).over(by_seg).alias("_carry"),
+        (F.lag("_group", 1, 0).over(by_seg) > 0).alias("_won"),
     )
+    out = cut.join(F.broadcast(carry), ["source", "_seg"], "left")
+    before = F.coalesce("_carry", F.lit(0))
+    if start is not None:
+        begun = start.select("source", F.col("streak").alias("_start"))
+        out = out.join(F.broadcast(begun), "source", "left")
+        before = before + F.when(F.coalesce("_won", F.lit(False)), 0).otherwise(F.coalesce("_start", F.lit(0)))
+    return out.withColumn(
+        "streak", (F.col("_run") + F.when(F.col("_wins") == 0, before).otherwise(0)).cast("bigint")
+    ).drop("_seg", "_hot", "_wins", "_run", "_carry", "_won", "_start")
 
 
 def run_alerts(runs_with_streak: DataFrame) -> DataFrame:
