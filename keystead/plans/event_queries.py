@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numbers import py_round
 from ..operators import events as E, health as H, limiter as L, matching as M, messages as T
+from ..session import stored
 from ..sources import derived as D, tables
 from .catalog import METERS, amenity_text, hav, over, query, rnd
 
@@ -201,7 +202,7 @@ def chart_date(spark, sf):
 
 
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """Price-drop sightings with the details of their listing."""
+    """Price-drop sightings with the details of their listing, as a stored table."""
     drops = changes(spark, sf).filter("event_type = 'price_drop'").select(
         F.concat_ws("-", "listing_id", *ORDER).alias("event_id"), F.col("listing_id").alias("id"),
         "event_type", F.col("previous_price").cast("double").alias("old_price"),
@@ -210,7 +211,7 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
     details = V(spark, sf, "listings").select(
         "id", "address", "bedrooms", "borough", "lat", "lng", "amenities", "quality_score"
     )
-    return drops.join(details, "id").withColumnRenamed("new_price", "price")
+    return stored(drops.join(details, "id").withColumnRenamed("new_price", "price"), "alerts")
 
 
 ALERTS = f"""alerts AS (SELECT concat_ws('-', listing_id, {ORD}) AS event_id, listing_id AS id, c.event_type,
@@ -235,12 +236,12 @@ def matches(spark, sf) -> DataFrame:
     return M.match_searches(alerts(spark, sf), V(spark, sf, "saved_searches"), D.users(spark, sf))
 
 
-PER_SEARCH = "search_id, count(*) AS n, count(DISTINCT id) AS listings, min(ts_sec) AS first_sec, max(ts_sec) AS last_sec, CAST(sum(price) AS BIGINT) AS price_sum"
+PER_SEARCH = "search_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum, min(ts_sec) AS first_sec, max(ts_sec) AS last_sec, CAST(sum(price) AS BIGINT) AS price_sum"
 
 
 def _per_search(df: DataFrame) -> DataFrame:
     return df.groupBy("search_id").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("listings"), F.min("ts_sec").alias("first_sec"),
+        F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"), F.min("ts_sec").alias("first_sec"),
         F.max("ts_sec").alias("last_sec"), F.sum("l_price").cast("bigint").alias("price_sum"),
     )
 
@@ -303,9 +304,15 @@ def rate_limit(spark, sf):
 
 
 def accepted(spark, sf) -> DataFrame:
-    cols = ["user_id", "ts_sec", "search_id", "event_id", "id", "event_type", "address", "old_price", "l_price",
-            "l_bedrooms", "l_borough", "name", "channels", "device_tokens", "email"]
-    return L.rate_limit(M.post_filter(matches(spark, sf)).select(*cols), ["search_id", "event_id"])
+    """Accepted matches with their details.
+
+    The limiter sees four short columns; details are joined to the few matches
+    it lets through.
+    """
+    events, searches = alerts(spark, sf), V(spark, sf, "saved_searches")
+    kept = M.post_filter(M.match_searches(events, searches, D.users(spark, sf)))
+    passed = L.rate_limit(kept.select("user_id", "ts_sec", "search_id", "event_id"), ["search_id", "event_id"])
+    return M.with_details(passed, events, searches, D.users(spark, sf))
 
 
 LIMITED = ", " + _limited("kept", "", "search_id, event_id")
@@ -364,9 +371,7 @@ def push_text(spark, sf):
 
 
 def digest_input(spark, sf) -> DataFrame:
-    return accepted(spark, sf).withColumnsRenamed(
-        {"l_price": "price", "l_bedrooms": "bedrooms", "l_borough": "borough", "name": "search_name"}
-    )
+    return accepted(spark, sf).withColumnRenamed("name", "search_name")
 
 
 @query(
@@ -426,7 +431,7 @@ FROM accepted WHERE channel_list IN ('', 'sse') GROUP BY user_id"""
 )
 def user_messages(spark, sf):
     sent = M.dispatch(accepted(spark, sf)).filter("channel = 'sse'").withColumnsRenamed(
-        {"id": "listing_id", "l_price": "price", "name": "search_name"}
+        {"id": "listing_id", "name": "search_name"}
     )
     return T.to_user_messages(sent).groupBy("channel").agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("first_value")
