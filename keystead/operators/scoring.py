@@ -140,9 +140,9 @@ def description_score(description: Column) -> Column:
             + F.when(t.rlike("[.!]"), 10.0).otherwise(0.0)
             + F.least(hits * 5.0, F.lit(20.0))
         )
-        return F.when(n == 0, 0.0).otherwise(F.least(size + quality, F.lit(100.0)))
+        return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).otherwise(F.least(size + quality, F.lit(100.0)))
 
-    return F.coalesce(let(strip(description), score), F.lit(0.0))
+    return let(strip(description), score)
 
 
 def quality_scores(df: DataFrame) -> DataFrame:
