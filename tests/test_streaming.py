@@ -24,23 +24,25 @@ def same(a, b):
     return sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
-def test_upserts(spark, sf):
+@pytest.mark.parametrize("floor", [5, 10**6])
+def test_upserts(spark, sf, floor):
     out = work_dir(spark, "t01")
     obs = D.view(spark, sf, "observations")
     stream = sliced(spark, obs, "scraped_sec", out)
-    J.run_available(J.stream_upserts(stream, "listing_id", list(ORDER)), f"{out}/data", f"{out}/cp")
+    J.stream_upserts(stream, f"{out}/data", f"{out}/cp", "listing_id", list(ORDER), floor=floor)
     cols = ["listing_id", *ORDER, "price", "previous_price", "event_type"]
-    got = spark.read.parquet(f"{out}/data").select(*cols)
+    got = spark.read.parquet(f"{out}/data/changes").select(*cols)
     assert same(got, E.detect_changes(obs, order=ORDER).select(*cols))
+    assert spark.read.parquet(f"{out}/data/last/batch_id=3").count() == obs.select("listing_id").distinct().count()
 
 
 def test_limiter(spark, sf):
     out = work_dir(spark, "t03")
-    df = D.view(spark, sf, "notifications").select("id", "user_id", F.col("sent_at").cast("timestamp").alias("at"))
-    df = df.withColumn("ts_sec", F.unix_micros("at") / 1e6)
-    stream = sliced(spark, df, "ts_sec", out)
-    J.run_available(J.stream_rate_limit(stream, ["id"]), f"{out}/data", f"{out}/cp")
-    assert same(spark.read.parquet(f"{out}/data").select("id"), L.rate_limit(df, ["id"]).select("id"))
+    df = D.view(spark, sf, "notifications").select(
+        "id", "user_id", (F.unix_micros(F.col("sent_at").cast("timestamp")) / 1e6).alias("ts_sec")
+    )
+    J.stream_rate_limit(sliced(spark, df, "ts_sec", out), ["id"], f"{out}/data", f"{out}/cp")
+    assert same(spark.read.parquet(f"{out}/data/accepted").select("id"), L.rate_limit(df, ["id"]).select("id"))
 
 
 def test_staleness(spark, sf):
