@@ -62,7 +62,8 @@ def predicates(f: Filters) -> list[Column]:
 
 def contains_all(present: Column, required: Column) -> Column:
     """Every required element is present; nothing required passes."""
-    return F.size(F.array_except(required, F.coalesce(present, F.array().cast("array<string>")))) == 0
+    missing = F.exists(required, lambda a: ~F.coalesce(F.array_contains(present, a), F.lit(False)))
+    return (F.size(required) == 0) | ~missing
 
 
 def search_listings(df: DataFrame, f: Filters) -> DataFrame:

@@ -111,12 +111,17 @@ def salted_join(
     floor: int = HOT_FLOOR,
     oversplit: int = 4,
     salt_by: list[str] | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Equi-join on ``keys`` in which hot keys of ``big`` are spread over salts.
 
     The salt is a hash of ``salt_by`` (a row id, by default all columns that can
     be hashed), so a recomputed task puts every row where it was before.
 
+    ``spread`` is for joins that meet many candidates per input row: their work
+    does not follow the input bytes, so the full number of shuffle partitions is
+    kept instead of letting AQE merge small ones.
+
     Rows of ``small`` under a hot key are repeated once per salt; everything else
     is shuffled once as usual. ``keys`` must exist on both sides.
     """
@@ -141,6 +146,9 @@ def salted_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
+    if spread:
+        n = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = (d.repartition(n, *keys, "_salt") for d in (left, right))
     joined = left.join(right, [*keys, "_salt"], how)
     if cond is not None:
         if how != "inner":

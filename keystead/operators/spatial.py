@@ -41,7 +41,7 @@ def near_pairs(
     )
     dist = haversine_miles(F.col("q_lat"), F.col("q_lng"), F.col("p_lat"), F.col("p_lng"))
     return (
-        salted_join(a, b, ["_band", "_col"], floor=floor, salt_by=salt_by)
+        salted_join(a, b, ["_band", "_col"], floor=floor, salt_by=salt_by, spread=True)
         .withColumn("distance", dist)
         .filter(F.col("distance") <= miles)
         .drop("_band", "_col")
