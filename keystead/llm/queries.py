@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ordinal, pieces
+from .line_runs import drop_repeated_lines
+from .mixing import mix
 from .ngram_join import NgramJoin
 from .tables import read
 
@@ -55,3 +58,43 @@ FROM sets s LEFT JOIN one o ON o.s = list_sort(s.s) LEFT JOIN comp c ON c.node =
 @query("op2_ngram_jaccard_join", NGRAM_SQL)
 def ngram_jaccard_join(spark, sf_dir):
     return NgramJoin(read(spark, sf_dir, "documents", "doc_id", "text")).membership()
+
+
+LINES_SQL = f"""
+WITH l AS (
+  SELECT doc_id, i, line, {ASCII_LOWER.format("regexp_replace(line, '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g')")} AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(1, 1 + len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)
+), rep AS (
+  SELECT k, max(doc_id) AS holder FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (rep.k IS NOT NULL AND holder <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (rep.k IS NULL OR holder = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN rep ON l.k = rep.k GROUP BY doc_id
+"""
+
+
+@query("op10_line_dedup", LINES_SQL)
+def line_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long"))
+    out = drop_repeated_lines(docs, dropped_col="n_dropped")
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op5_toxicity")
+def toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = ordinal.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    s = docs.select("doc_id", ordinal.severity(model, F.col("text")).alias("s"))
+    return s.select("doc_id", F.col("s.severity"), F.col("s.toxic").alias("p_toxic"), (F.col("s.toxic") >= 0.5).alias("rejected"))
+
+
+@query("op6_source_mixing")
+def source_mixing(spark, sf_dir):
+    out = mix(read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+    return out.select("doc_id", "source", "lang", "mix.*")
+
+
+@query("op9_sentencepiece")
+def sentencepiece(spark, sf_dir):
+    return pieces.encode(read(spark, sf_dir, "documents", "doc_id", "text"))
