@@ -92,9 +92,13 @@ def shingles(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.n
         part = word[k:] * SHINGLE_FACTORS[k]
         part[left[: len(part)] <= k] = 0
         h[: len(part)] += part
-    h, doc = mix(h[whole], 1), doc[whole]
+    return distinct(doc[whole], mix(h[whole], 1))
+
+
+def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (text index, hash), sorted."""
     order = np.argsort(h)
-    kind = np.uint16 if len(at) < 65536 else np.int64
+    kind = np.uint16 if len(doc) and doc[-1] < 65536 else np.int64
     order = order[np.argsort(doc[order].astype(kind), kind="stable")]
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)

@@ -21,8 +21,13 @@ from .tables import stored
 
 #: At most this many labelled rows (those with the smallest id hash) and features enter a fit.
 MAX_ROWS, MAX_FEATURES = 20_000, 2_000
+#: A text is rejected from this P(grade > 0) on.
+REJECT = 0.3
 #: Least log-likelihood ratio of a feature (chance below 1e-7).
 LEAST_RATIO = 30.0
+#: Least share of positive rows among the rows with a feature word, as a multiple of their share among all rows (3 at
+#: most half way to 1): words of one language or genre are no evidence of their own.
+LEAST_LIFT = 3.0
 
 
 @dataclass
@@ -60,8 +65,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
 
 
-def select_words(sample: DataFrame, max_features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the feature words, and whether each goes with a positive label."""
+def select_words(sample: DataFrame, max_features: int) -> np.ndarray:
+    """Sorted hashes of the feature words."""
 
     def run(batches):
         for batch in batches:
@@ -70,7 +75,7 @@ def select_words(sample: DataFrame, max_features: int) -> tuple[np.ndarray, np.n
             yield pa.record_batch([pa.array([0], pa.int64()), pa.array([int(y.sum())]), pa.array([len(y)], pa.int64()), pa.array([True])],
                                   names=["word", "pos", "n", "is_total"])
             for i, j in bw.pieces(at):
-                doc, h = bw.shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], 1)
+                doc, h = bw.distinct(*bw.words(data[at[i] : at[j]], at[i : j + 1] - at[i])[:2])
                 u, back = np.unique(h, return_inverse=True)
                 pos = np.bincount(back, weights=y[i:j][doc], minlength=len(u)).astype(np.int64)
                 yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(pos), pa.array(np.bincount(back, minlength=len(u)), pa.int64()),
@@ -80,16 +85,15 @@ def select_words(sample: DataFrame, max_features: int) -> tuple[np.ndarray, np.n
     rows = stored(rows.groupBy("is_total", "word").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).filter("is_total or n > 2"), "toxic-words")
     total = rows.filter("is_total").first()
     if total is None or not 0 < total.pos < total.n:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64)
     p, n = float(total.pos), float(total.n)
     part = lambda seen, row, col: F.when(seen > 0, seen * F.log(seen * F.lit(n) / (row * col))).otherwise(0.0)
     a, m = F.col("pos").cast("double"), F.col("n").cast("double")
     ratio = 2 * (part(a, m, F.lit(p)) + part(m - a, m, F.lit(n - p)) + part(p - a, n - m, F.lit(p)) + part(n - p - m + a, n - m, F.lit(n - p)))
     best = rows.filter("not is_total").withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
+    best = best.filter(a / m >= min(LEAST_LIFT * p / n, (1 + p / n) / 2))
     best = best.orderBy(F.desc("ratio"), "word").limit(max_features).toPandas()
-    words = best["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return words[order], (best["pos"] / best["n"] > p / n).to_numpy(bool)[order]
+    return np.sort(best["word"].to_numpy(np.int64).view(np.uint64))
 
 
 def fit_cuts(row, col, x, y, features: int, grades: int, penalty: float = 1e-4, steps: int = 800):
@@ -114,7 +118,7 @@ def fit_cuts(row, col, x, y, features: int, grades: int, penalty: float = 1e-4,
         tail = np.cumsum(g_cut[::-1])[::-1]
         g = np.r_[np.bincount(col, weights=g_eta[row] * x, minlength=features) + penalty * w, tail[0], tail[1:] * gaps]
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
-        free = free - 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
+        free = free - 0.1 * (1 - t / (steps + 1)) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
     return free[:features], free[features] + np.r_[0, np.cumsum(np.exp(free[features + 1 :]))]
 
 
@@ -123,11 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Model from labelled documents.
 
     Labels may be grades 0, 1, ... (``grades`` of them). Where they are only 0 and 1, positives are graded by the
-    density of positive feature words in their text, in equal parts. Without rows of both kinds the model has no
+    amount of feature words in their text, in equal parts. Without rows of both kinds the model has no
     features and gives every text a severity near 0.
     """
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, max_rows)
-    words, positive = select_words(sample, max_features)
+    words = select_words(sample, max_features)
     if not len(words):
         return OrdinalModel(cuts=np.full(grades - 1, 20.0))
 
@@ -146,9 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     col = np.concatenate(rows["col"].to_numpy()).astype(np.int64)
     n = np.concatenate(rows["n"].to_numpy()).astype(np.float64)
     if y.max() == 1 and grades > 2:
-        dense = np.bincount(row, weights=n * positive[col], minlength=len(y)) / np.maximum(1, rows["total"].to_numpy())
+        amount = np.bincount(row, weights=np.log2(1 + n), minlength=len(y))
         at = np.flatnonzero(y > 0)
-        rank = np.argsort(np.argsort(dense[at], kind="stable"), kind="stable")
+        rank = np.argsort(np.argsort(amount[at], kind="stable"), kind="stable")
         y[at] = 1 + rank * (grades - 1) // len(at)
     weights, cuts = fit_cuts(row, col, np.log2(1 + n), y, len(words), grades)
     return OrdinalModel(words, weights, cuts)
@@ -168,7 +172,7 @@ def severity(model: OrdinalModel, text):
     return score(text)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = REJECT) -> DataFrame:
     """Rows of ``docs`` whose P(grade > 0) is below ``least``; all columns stay."""
     model = fit(docs, labels, id_col, text_col)
     return docs.filter(severity(model, F.col(text_col))["toxic"] < least)

@@ -86,7 +86,7 @@ def toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     model = ordinal.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
     s = docs.select("doc_id", ordinal.severity(model, F.col("text")).alias("s"))
-    return s.select("doc_id", F.col("s.severity"), F.col("s.toxic").alias("p_toxic"), (F.col("s.toxic") >= 0.5).alias("rejected"))
+    return s.select("doc_id", F.col("s.severity"), F.col("s.toxic").alias("p_toxic"), (F.col("s.toxic") >= ordinal.REJECT).alias("rejected"))
 
 
 @query("op6_source_mixing")
