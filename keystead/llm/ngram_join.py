@@ -245,7 +245,7 @@ class NgramJoin:
         head = F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.least(k_.cast("long"), prefix - own)).cast("int"))
         self.postings = stored(
             self.sets.select("rid", "n", own.alias("own"), F.posexplode(head).alias("i", "key"))
-            .select("key", "rid", "n", (F.col("own") + F.col("i")).alias("pos")), "ngram-postings")
+            .select("key", "rid", "n", (F.col("own") + F.col("i")).alias("pos"), (64 * F.col("own") / F.col("n")).cast("int").alias("apart")), "ngram-postings")
 
     def _able(self, x: str, y: str):
         """Length and positional filter on two postings of one n-gram."""
@@ -260,7 +260,7 @@ class NgramJoin:
         s = self.sets
         x = s.select(F.col("rid").alias("a"), F.col("n").alias("nx"), F.col("keys").alias("x"))
         y = s.select(F.col("rid").alias("b"), F.col("n").alias("ny"), F.col("keys").alias("y"))
-        both = pairs.select("a", "b").distinct().join(x, "a").join(y, "b")
+        both = pairs.join(x, "a").join(y, "b")
         return both.filter(_linked(self.num, self.den)("x", "nx", "y", "ny")).select("a", "b")
 
     def _across(self, postings: DataFrame) -> DataFrame:
@@ -270,48 +270,51 @@ class NgramJoin:
         y = postings.filter(F.col("pos") < index).select("key", *(F.col(c).alias(f"y_{c}") for c in ("rid", "n", "pos", "comp")))
         x = postings.select("key", *(F.col(c).alias(f"x_{c}") for c in ("rid", "n", "pos", "comp")))
         smaller = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_rid") < F.col("x_rid")))
-        return (
-            x.join(y, (x.key == y.key) & (F.col("x_comp") != F.col("y_comp")) & smaller & self._able("x_", "y_"))
-            .select(F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b")).distinct()
-        )
+        met = x.join(y, (x.key == y.key) & (F.col("x_comp") != F.col("y_comp")) & smaller & self._able("x_", "y_"))
+        # n-grams common so far, and what can still follow the last of them
+        met = met.groupBy("x_rid", "y_rid", "x_n", "y_n").agg(
+            F.count("*").alias("c"), (F.col("x_n") - F.max("x_pos") - 1).alias("x_rest"), (F.col("y_n") - F.max("y_pos") - 1).alias("y_rest"))
+        need = F.ceil((F.col("x_n") + F.col("y_n")) * num / (num + den))
+        return met.filter(F.col("c") + F.least("x_rest", "y_rest") >= need).select(
+            F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b"))
 
     def pairs(self) -> DataFrame:
         """Every link (a, b) between class representatives, a < b."""
         return self.verify(self._across(self.postings.withColumn("comp", F.col("rid"))))
 
-    def components(self, rounds: int = 6) -> DataFrame:
-        """(rid, comp) of the classes that have links."""
+    def components(self, rounds: int = 1) -> DataFrame:
+        """(rid, comp) of the classes that have links.
+
+        While the pairs left to form are many times the postings, each class is tested with one hub only, that of most of
+        its open n-grams. Hubs are drawn from the classes with the smallest share of n-grams of their own, as these are nearest to the
+        middle of a group; ``rounds`` bounds such rounds, not the result.
+        """
         spark = self.sets.sparkSession
-        links = spark.createDataFrame([], "a long, b long")
-        tested, labels = links, None
+        tested = links = spark.createDataFrame([], "a long, b long")
+        posts, labels = self.postings.withColumn("comp", F.col("rid")), None
         for r in range(rounds + 1):
-            posts = self.postings
-            if labels is not None:
-                posts = posts.join(labels, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-            else:
-                posts = posts.withColumn("comp", F.col("rid"))
-            # n-grams met in one component only are done with
+            if labels is not None:  # of the n-grams that were still open
+                posts = posts.select("key", "rid", "n", "pos", "apart").join(labels, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
             open_keys = posts.groupBy("key").agg(
-                F.min_by(F.struct("rid", "n", "pos", "comp"), F.xxhash64("rid", F.lit(r))).alias("h"),
+                F.min_by(F.struct("rid", "n", "pos", "comp"), F.struct(F.shiftright("apart", 2 * r), F.xxhash64("rid", F.lit(r)))).alias("h"),
                 F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"),
-            ).filter("lo <> hi")
-            posts = stored(posts.join(open_keys.select("key", "h", "m"), "key"), "ngram-open")
-            most = posts.groupBy("key", "comp").agg(F.count("*").alias("c"), F.first("m").alias("m")).agg(
+            ).filter("lo <> hi")  # n-grams within one component are done with
+            posts = stored(posts.select("key", "rid", "n", "pos", "apart", "comp").join(open_keys.select("key", "h", "m"), "key"), "ngram-open")
+            left, rows = posts.groupBy("key", "comp").agg(F.count("*").alias("c"), F.first("m").alias("m")).agg(
                 F.coalesce(F.sum(F.col("c") * (F.col("m") - F.col("c"))), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-            if not most[0]:
+            if not left:
                 break
-            last = r == rounds or most[0] <= 8 * most[1]
+            last = r == rounds or left <= 16 * rows
             if last:
                 cand = self._across(posts)
             else:
-                flat = posts.select("rid", "n", "pos", "comp", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("rid", "n", "pos", "comp")))
-                flat = flat.select(*(F.col(c).alias(f"x_{c}") for c in ("rid", "n", "pos", "comp")), *(c for c in flat.columns if c.startswith("h_")))
-                cand = flat.filter((F.col("x_comp") != F.col("h_comp")) & self._able("x_", "h_")).select(
+                flat = posts.select(*(F.col(c).alias(f"x_{c}") for c in ("rid", "n", "pos", "comp")), *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("rid", "n", "pos", "comp")))
+                flat = flat.filter((F.col("x_comp") != F.col("h_comp")) & self._able("x_", "h_")).groupBy("x_rid", "h_rid").agg(F.count("*").alias("c"))
+                cand = flat.groupBy("x_rid").agg(F.max_by("h_rid", F.struct("c", "h_rid")).alias("h_rid")).select(
                     F.least("x_rid", "h_rid").alias("a"), F.greatest("x_rid", "h_rid").alias("b")).distinct()
             cand = stored(cand.join(tested, ["a", "b"], "left_anti"), "ngram-candidates")
             tested = tested.union(cand)
-            found = self.verify(cand)
-            links = stored(links.union(found), "ngram-links")
+            links = stored(links.union(self.verify(cand)), "ngram-links")
             labels = stored(connected(links).select(F.col("node").alias("rid"), F.col("root").alias("comp")), "ngram-labels")
             if last:
                 break
