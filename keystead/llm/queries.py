@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ordinal, pieces
+from . import markov, ordinal, pieces, topk_lists
 from .line_runs import drop_repeated_lines
 from .mixing import mix
 from .ngram_join import NgramJoin
@@ -98,3 +98,32 @@ def source_mixing(spark, sf_dir):
 @query("op9_sentencepiece")
 def sentencepiece(spark, sf_dir):
     return pieces.encode(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@query("op1_topk_search", TOPK_SQL)
+def topk_search(spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings", "vec_id", topk_lists.quantised(F.col("embedding")).alias("vector"))
+    return topk_lists.search(v, F.col("vec_id") % 50 == 0)
+
+
+@query("op7_secret_scan")
+def secret_scan(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    out = markov.scan(docs, markov.train(markov.labelled_samples(docs))).drop("text")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *(count(k) for k in ("assign", "access", "hex", "random")), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
