@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import markov, ordinal, pieces, topk_lists
+from . import digest, html_text, markov, ordinal, pieces, topk_lists, warc
 from .line_runs import drop_repeated_lines
 from .mixing import mix
 from .ngram_join import NgramJoin
@@ -127,3 +127,28 @@ def secret_scan(spark, sf_dir):
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *(count(k) for k in ("assign", "access", "hex", "random")), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op3_html_extraction")
+def html_extraction(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    return pages.select("page_id", "url", html_text.extracted("html").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op4_document_fingerprints")
+def document_fingerprints(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return digest.fingerprints(docs, digest.level_ranks(docs))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS kept FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND kept <> page_id THEN kept END AS refers_to FROM d
+"""
+
+
+@query("op8_warc", WARC_SQL)
+def warc_archives(spark, sf_dir):
+    return warc.archived(read(spark, sf_dir, "pages", "page_id", "url", "html"))
