@@ -27,6 +27,8 @@ CLASS = np.full(128, len(ALPHABET))
 CLASS[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 #: A token is random from this mean log-likelihood ratio per character on.
 LEAST_MEAN = 0.5
+#: Weight of the single-character frequencies in a transition row.
+SMOOTH = 5.0
 #: At most this many documents (smallest text hash) give identifiers for training.
 MAX_DOCS = 5_000
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -50,9 +52,14 @@ def pair_counts(strings) -> np.ndarray:
 
 
 def log_ratio(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """Log ratio of the two transition tables, each smoothed by half a count."""
-    a, b = random + 0.5, ordinary + 0.5
-    return np.log(a / a.sum(axis=1, keepdims=True)) - np.log(b / b.sum(axis=1, keepdims=True))
+    """Log ratio of the two transition tables, each smoothed by SMOOTH characters of its own frequencies."""
+
+    def log_p(pairs: np.ndarray) -> np.ndarray:
+        single = pairs.sum(axis=0) + 0.5
+        p = pairs + SMOOTH * single / single.sum()
+        return np.log(p / p.sum(axis=1, keepdims=True))
+
+    return log_p(random) - log_p(ordinary)
 
 
 def train(samples: DataFrame) -> np.ndarray:
@@ -81,7 +88,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", random_rows: int =
     sets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[:62], ALPHABET[:64]]
     drawn = [("".join(np.array(list(sets[i % 4]))[rng.integers(0, len(sets[i % 4]), 32)]), True) for i in range(random_rows)]
     some = docs.select(F.col(text_col).alias("text")).filter("text is not null").withColumn("h", F.xxhash64("text")).orderBy("h").limit(max_docs)
-    word = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]{2,}"), F.lit(0)))
+    word = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]{2,}"), F.lit(0)))
     return spark.createDataFrame(drawn, "text string, random boolean").union(some.select(word.alias("text"), F.lit(False).alias("random")))
 
 

@@ -9,7 +9,6 @@ the pass gives the merge result of the whole word without merging it.
 
 from __future__ import annotations
 
-import os
 import re
 from dataclasses import dataclass
 
@@ -61,10 +60,11 @@ class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
         self.ids = {p: i for i, (p, ok) in enumerate(zip(vocab.pieces, vocab.normal, strict=True)) if ok and p}
-        self.longest = max(map(len, self.ids), default=1)
         self.pairs: dict[tuple[int, int], bool] = {}
         if vocab.bpe:  # pieces that merging never gives are of no use
             self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self._merged(p) == [p]}
+        #: Ends of pieces: beyond the first that is none no longer piece can end at this place.
+        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
         self.floor = min(vocab.scores, default=0.0) - 10
         self.word, self.start, self.last, self.score = "", [0], [-1], [0.0]
 
@@ -93,11 +93,15 @@ class Encoder:
 
     def _forward(self, word: str, i: int) -> None:
         """State of the first i characters from those of fewer."""
-        ids, last, longest = self.ids, self.last, self.longest
+        ids, tails, last = self.ids, self.tails, self.last
+        ends, j = [], i - 1
+        while j >= 0 and (x := word[j:i]) in tails:
+            if x in ids:
+                ends.append((j, ids[x]))
+            j -= 1
         if self.v.bpe:
-            for j in range(i - longest if i > longest else 0, i):
-                t = ids.get(word[j:i])
-                if t is not None and (j == 0 or self._fits(last[j], t)):
+            for j, t in reversed(ends):
+                if not j or self._fits(last[j], t):
                     self.start.append(j)
                     last.append(t)
                     return
@@ -105,9 +109,8 @@ class Encoder:
             last.append(-1)
             return
         best = (self.score[i - 1] + self.floor, i - 1, -1)
-        for j in range(i - longest if i > longest else 0, i):
-            t = ids.get(word[j:i])
-            if t is not None and (s := self.score[j] + self.v.scores[t]) > best[0]:
+        for j, t in reversed(ends):
+            if (s := self.score[j] + self.v.scores[t]) > best[0]:
                 best = (s, j, t)
         self.score.append(best[0])
         self.start.append(best[1])
@@ -118,7 +121,11 @@ class Encoder:
         out = {}
         for word in words:
             prev = self.word
-            k = len(os.path.commonprefix((prev, word))) if prev else 0
+            k = 0
+            for x, y in zip(prev, word, strict=False):
+                if x != y:
+                    break
+                k += 1
             del self.start[k + 1 :], self.last[k + 1 :]
             if not self.v.bpe:
                 del self.score[k + 1 :]
@@ -145,10 +152,17 @@ class Decoder:
         for b, i in enumerate(vocab.byte_ids):
             self.bytes[i] = bytes([b])
 
-    def text(self, ids) -> str:
-        out = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def raw(self, ids) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
+    def plain(self, raw: bytes) -> str:
+        """Text of decoded bytes, without the leading blank of the first mark."""
+        out = raw.decode("utf-8", "replace")
         return out[1:] if out[:1] == " " else out
 
+    def text(self, ids) -> str:
+        return self.plain(self.raw(ids))
+
 
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_pieces, ids, round_trip) per row of ``docs``.
@@ -159,7 +173,8 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def run(batches):
-        coder, decoder, known = Encoder(shared.value), Decoder(shared.value), {}
+        # ids of each known word, and what they decode to
+        coder, decoder, known, said = Encoder(shared.value), Decoder(shared.value), {}, {}
         for batch in batches:
             ids = batch.column(0)
             _, at = bw.flat(batch.column(1))
@@ -168,21 +183,17 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
                 if len(known) > CACHE:
                     known.clear()
-                new = set()
-                for u in units:
-                    new.update(u)
-                known.update(coder.encode(sorted(w for w in new if w not in known)))
-                size, flat, good = [0], [], []
-                for t, u in zip(texts, units, strict=True):
-                    own = []
-                    for w in u:
-                        own += known[w]
-                    good.append(decoder.text(own) == (t or ""))
-                    size.append(size[-1] + len(own))
-                    flat.append(np.array(own, np.int32))
-                values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+                    said.clear()
+                new = set().union(*units).difference(known)
+                for w, found in coder.encode(sorted(new)).items():
+                    known[w] = np.array(found, np.int32).tobytes()
+                    said[w] = decoder.raw(found)
+                codes = [b"".join(map(known.__getitem__, u)) for u in units]
+                good = [decoder.plain(b"".join(map(said.__getitem__, u))) == (t or "") for t, u in zip(texts, units, strict=True)]
+                size = np.cumsum([0, *(len(c) // 4 for c in codes)])
+                values = pa.array(np.frombuffer(b"".join(codes), np.int32))
                 yield pa.record_batch([ids.slice(i, j - i), pa.array(np.diff(size), pa.int64()),
-                                       pa.ListArray.from_arrays(pa.array(size, pa.int32()), values), pa.array(good)],
+                                       pa.ListArray.from_arrays(pa.array(size, pa.int32()), values), pa.array(good, pa.bool_())],
                                       names=["id", "n_pieces", "ids", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
