@@ -54,7 +54,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def pieces(at: np.ndarray, size: int = 1 << 21):
+def pieces(at: np.ndarray, size: int = 1 << 19):
     """Ranges of whole texts with about ``size`` bytes (one text may have more)."""
     i = 0
     while i < len(at) - 1:

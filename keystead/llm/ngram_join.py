@@ -30,7 +30,7 @@ from .tables import stored
 HASH_BITS = 53
 LOW = np.uint64((1 << 48) - 1)
 #: Bytes of text whose shingles one frequency counter holds.
-COUNTER_BYTES = 32 << 20
+COUNTER_BYTES = 16 << 20
 #: At most this many frequent shingles are sent to all tasks (8 bytes each).
 FREQUENT_KEYS = 500_000
 

@@ -23,7 +23,7 @@ from . import bytewise as bw
 MARK = "▁"
 UNIT = re.compile(f"\\n|{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+")
 #: Entries of the word and pair caches of one task; they are emptied beyond it, results do not depend on them.
-CACHE = 400_000
+CACHE = 100_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         for batch in batches:
             ids = batch.column(0)
             _, at = bw.flat(batch.column(1))
-            for i, j in bw.pieces(at, 4 << 20):
+            for i, j in bw.pieces(at, 1 << 20):
                 texts = batch.column(1).slice(i, j - i).to_pylist()
                 units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
                 if len(known) > CACHE:

@@ -11,11 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import stored, work_dir
 
 __all__ = ["read", "ship", "stored", "work_dir"]
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, so that their Python workers can import it."""
+    """Send the package to the executors once per application, so that their Python workers can import it.
+
+    Also lowers the bytes of an Arrow batch where the session has not set them.
+    """
+    if spark.conf.get(BATCH_BYTES, None) == "67108864b":  # Spark's own default: long texts make large batches
+        spark.conf.set(BATCH_BYTES, "16m")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
