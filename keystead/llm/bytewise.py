@@ -7,6 +7,9 @@ value per byte, taken from prefix sums and then mixed.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -33,6 +36,23 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Give freed memory back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(run):
+    """``run`` (batches to batches) that gives its memory back at the end."""
+
+    def inner(batches):
+        yield from run(batches)
+        release()
+
+    return inner
+
+
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     h = h + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) % 2**64)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

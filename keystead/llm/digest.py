@@ -70,7 +70,7 @@ def level_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 total += np.bincount(found[_windows(at[i : j + 1] - at[i], len(found))], minlength=LEVELS + 1)
         yield pa.record_batch([pa.array(np.arange(LEVELS + 1)), pa.array(total)], names=["level", "n"])
 
-    rows = docs.select(text_col).mapInArrow(run, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text_col).mapInArrow(bw.released(run), "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(LEVELS + 1, np.int64)
     for r in rows:
         count[r.level] = r.n
@@ -204,7 +204,7 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", tex
         if ids:
             yield edge_row(1, ids[0], texts[0], own[0])
 
-    staged = stored(rows.mapInPandas(run, _STAGE), "digests")
+    staged = stored(rows.mapInPandas(bw.released(run), _STAGE), "digests")
     pids = staged.filter("edge = 0").select("pid")
     one = Window.orderBy("pid")  # one number per range of ids
     follows = pids.select("pid", F.coalesce(F.lead("pid").over(one), F.min("pid").over(Window.partitionBy())).alias("next_pid"))

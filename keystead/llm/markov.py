@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from . import bytewise as bw
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -74,7 +76,7 @@ def train(samples: DataFrame) -> np.ndarray:
                 yield pa.record_batch([pa.array([k] * len(i), pa.bool_()), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(table[i, j])],
                                       names=["random", "i", "j", "n"])
 
-    rows = samples.select("text", "random").dropna().mapInArrow(run, "random boolean, i long, j long, n double")
+    rows = samples.select("text", "random").dropna().mapInArrow(bw.released(run), "random boolean, i long, j long, n double")
     rows = rows.groupBy("random", "i", "j").agg(F.sum("n").alias("n")).toPandas()  # at most two tables of pairs of characters
     tables = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET) + 1))
     tables[rows["random"].astype(int), rows["i"].astype(int), rows["j"].astype(int)] = rows["n"]

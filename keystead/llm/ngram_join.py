@@ -86,7 +86,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                      pa.array(keys[often].astype(np.int64)), pa.array(seen[often], pa.int64())],
                     names=["id", "n", "sig", "key", "seen"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, n long, sig binary, key long, seen long")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(bw.released(run), "id long, n long, sig binary, key long, seen long")
 
 
 def _order_keys(heads: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -167,10 +167,11 @@ def shared_keys(docs: DataFrame, text_col: str, n: int, counters: int, frequent)
         cut = np.searchsorted(doc, np.arange(len(sigs) + 1))
         full = np.diff(cut) > 0
         edges = np.r_[0, np.cumsum(np.diff(cut)[full])]
+        bw.release()
         names = np.ascontiguousarray(sigs[full]).view(np.uint8).reshape(-1, 12)
         return pa.table({"sig": bw.binaries(names, np.arange(len(names) + 1)), "keys": bw.binaries(keys.astype(np.int64), edges)})
 
-    sent = docs.select(text_col).mapInArrow(emit, "bucket long, sigs binary, counts binary, low binary")
+    sent = docs.select(text_col).mapInArrow(bw.released(emit), "bucket long, sigs binary, counts binary, low binary")
     return sent.groupBy("bucket").applyInArrow(count, "sig binary, keys binary")
 
 

@@ -81,7 +81,7 @@ def select_words(sample: DataFrame, max_features: int) -> np.ndarray:
                 yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(pos), pa.array(np.bincount(back, minlength=len(u)), pa.int64()),
                                        pa.array(np.zeros(len(u), bool))], names=["word", "pos", "n", "is_total"])
 
-    rows = sample.select("y", "text").mapInArrow(run, "word long, pos long, n long, is_total boolean")
+    rows = sample.select("y", "text").mapInArrow(bw.released(run), "word long, pos long, n long, is_total boolean")
     rows = stored(rows.groupBy("is_total", "word").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).filter("is_total or n > 2"), "toxic-words")
     total = rows.filter("is_total").first()
     if total is None or not 0 < total.pos < total.n:
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([batch.column(0), pa.array(total), pa.ListArray.from_arrays(cut, pa.array(col, pa.int64())),
                                    pa.ListArray.from_arrays(cut, pa.array(n, pa.int64()))], names=["y", "total", "col", "n"])
 
-    rows = sample.select("y", "text").mapInArrow(run, "y long, total long, col array<long>, n array<long>")
+    rows = sample.select("y", "text").mapInArrow(bw.released(run), "y long, total long, col array<long>, n array<long>")
     rows = rows.orderBy("y", "total", "col", "n").toPandas()  # a few words of each of at most max_rows documents
     y = rows["y"].to_numpy(np.int64).clip(0, grades - 1)
     size = rows["col"].map(len).to_numpy()

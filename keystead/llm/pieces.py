@@ -178,7 +178,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         for batch in batches:
             ids = batch.column(0)
             _, at = bw.flat(batch.column(1))
-            for i, j in bw.pieces(at, 1 << 20):
+            for i, j in bw.pieces(at):
                 texts = batch.column(1).slice(i, j - i).to_pylist()
                 units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
                 if len(known) > CACHE:
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                                       names=["id", "n_pieces", "ids", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_pieces long, ids array<int>, round_trip boolean")
+    out = docs.select(id_col, text_col).mapInArrow(bw.released(run), f"id {kind}, n_pieces long, ids array<int>, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 

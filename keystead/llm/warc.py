@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytewise as bw
 from .tables import work_dir
 
 CHUNK = 256 << 10
@@ -88,7 +89,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     rows = typed(pages, id_col, F.encode(F.col(html_col), "UTF-8"))
     rows = rows.select(F.col(id_col).cast("long"), url_col, "warc_payload", "warc_sha1", "warc_refers_to")
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    rows.mapInArrow(bw.released(run), "value binary").select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
 class Parser:
@@ -158,7 +159,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     lines = spark.read.option("lineSep", END.decode()).text(path).select(F.col("value").cast("binary"))
-    return lines.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return lines.mapInArrow(bw.released(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archived(pages: DataFrame) -> DataFrame:
