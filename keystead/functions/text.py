@@ -26,7 +26,7 @@ STREET_TYPES = {
 }
 
 # Text patterns.
-UNIT_SUFFIX = r"(?i),?\s*#?\s*(?:apt|apartment|unit|suite|ste|fl|floor|rm|room)\.?\s*[#]?\s*\S+$"
+UNIT_SUFFIX = r"(?iU),?\s*#?\s*(?:apt|apartment|unit|suite|ste|fl|floor|rm|room)\.?\s*[#]?\s*\S+$"
 ORDINAL_ENDINGS = ("st", "nd", "rd", "th")
 CENTS_PRICE = r"\$?\s*([\d,]+(?:\.\d{2})?)"
 DOLLAR_PRICE = r"[\$]?\s*([\d,]+)"
@@ -66,7 +66,7 @@ def clean_address(raw: Column) -> Column:
     """Stored form of a street address; '' for NULL or empty input."""
     known = F.create_map(*[F.lit(x) for x in chain(*STREET_TYPES.items())])
     text = lower_ordinals(F.regexp_replace(strip(raw), UNIT_SUFFIX, ""))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
     words = F.transform(
         words,
         lambda w: F.coalesce(

@@ -97,7 +97,7 @@ def merge_listings(current: DataFrame, batch: DataFrame, now: Column, order: tup
     """Keyed upsert of a batch into the listings table.
 
     Both sides are unique on the key after the batch is folded, so the outer
-    join has no skew. Untouched rows pass through unchanged.
+    join has no skew. Untouched rows pass through unchanged, and every stored column is kept.
     """
     at = F.struct(*order)
     new = batch.groupBy("canonical_hash").agg(
@@ -120,7 +120,9 @@ def merge_listings(current: DataFrame, batch: DataFrame, now: Column, order: tup
     cols["status"] = F.when(seen, F.lit("active")).otherwise(F.col("status"))
     cols["first_seen_at"] = F.coalesce(F.col("first_seen_at"), now)
     cols["last_seen_at"] = F.when(seen, now).otherwise(F.col("last_seen_at"))
-    return j.select("canonical_hash", *[v.alias(k) for k, v in cols.items()])
+    # stored columns that a batch never writes stay as they are (NULL in new rows)
+    stays = [c for c in current.columns if c not in cols and c != "canonical_hash"]
+    return j.select("canonical_hash", *[v.alias(k) for k, v in cols.items()], *stays)
 
 
 def detect_removed(

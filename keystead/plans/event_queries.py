@@ -92,14 +92,15 @@ _SIGHT = f"""SELECT CAST(listing_id AS VARCHAR) AS canonical_hash, listing_id,
   arg_max(lat, {AT}) FILTER (WHERE lat IS NOT NULL) AS lat, arg_max(lng, {AT}) FILTER (WHERE lng IS NOT NULL) AS lng,
   arg_max(neighborhood, {AT}) FILTER (WHERE neighborhood <> '') AS nb, arg_max(borough, {AT}) FILTER (WHERE borough <> '') AS bo,
   arg_min(struct_pack(b := borough, n := neighborhood), {AT}) AS f FROM sight GROUP BY 1),
- cur AS (SELECT CAST(id AS VARCHAR) AS canonical_hash, 'old' AS source_url, price, lat, lng, neighborhood, borough, status FROM listings)
+ cur AS (SELECT CAST(id AS VARCHAR) AS canonical_hash, 'old' AS source_url, price, lat, lng, neighborhood, borough, status, id, bedrooms, sqft FROM listings)
 SELECT coalesce(c.canonical_hash, n.canonical_hash) AS canonical_hash,
  CASE WHEN n.canonical_hash IS NULL THEN c.source_url ELSE n.x.u END AS source_url,
  CASE WHEN n.canonical_hash IS NULL THEN c.price ELSE n.x.p END AS price, coalesce(n.lat, c.lat) AS lat, coalesce(n.lng, c.lng) AS lng,
  coalesce(n.nb, CASE WHEN c.canonical_hash IS NULL THEN n.f.n ELSE c.neighborhood END) AS neighborhood,
  coalesce(n.bo, CASE WHEN c.canonical_hash IS NULL THEN n.f.b ELSE c.borough END) AS borough,
  CASE WHEN n.canonical_hash IS NULL THEN c.status ELSE 'active' END AS status,
- CASE WHEN c.canonical_hash IS NULL THEN 2 ELSE 1 END AS first_seen_at, CASE WHEN n.canonical_hash IS NULL THEN 1 ELSE 2 END AS last_seen_at
+ CASE WHEN c.canonical_hash IS NULL THEN 2 ELSE 1 END AS first_seen_at, CASE WHEN n.canonical_hash IS NULL THEN 1 ELSE 2 END AS last_seen_at,
+ c.id, c.bedrooms, c.sqft
 FROM cur c FULL JOIN n ON c.canonical_hash = n.canonical_hash""",
     ),
 )
@@ -107,7 +108,7 @@ def listing_merge(spark, sf):
     # ids stand in for hashes; 1 marks the load before, 2 this load
     cur = V(spark, sf, "listings").selectExpr(
         "CAST(id AS STRING) AS canonical_hash", "'old' AS source_url", "price", "lat", "lng", "neighborhood",
-        "borough", "status", "1 AS first_seen_at", "1 AS last_seen_at",
+        "borough", "status", "1 AS first_seen_at", "1 AS last_seen_at", "id", "bedrooms", "sqft",
     )
     batch = spark.sql(_SIGHT.replace("VARCHAR", "STRING").replace("FROM observations", "FROM {observations}"), observations=V(spark, sf, "observations"))
     return E.merge_listings(cur, batch, F.lit(2), ORDER)

@@ -278,7 +278,7 @@ def _newest():
 
 
 _SINCE = f"""{FLAT_SQL}, feed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY borough ORDER BY filed DESC, permit_number, estimated_cost) AS rn
- FROM flat WHERE filed >= TIMESTAMP '2024-03-10') WHERE rn <= 500 AND permit_number <> '')"""
+ FROM flat WHERE filed >= TIMESTAMP '2024-03-10') WHERE permit_number <> '')"""
 
 
 def _since(spark, sf):

@@ -81,18 +81,17 @@ def parse_nested_permits(raw: DataFrame, json: str = "json") -> DataFrame:
     )
 
 
-def permits_since(df: DataFrame, recent: Column, order: list[Column], per_borough: int = 500) -> DataFrame:
-    """Newest permits of each borough; the per-borough limit is the feed's own.
+def permits_since(df: DataFrame, recent: Column, order: list[Column], per_borough: int | None = None) -> DataFrame:
+    """Permits of a run, those without a number left out; all of them unless the caller limits the newest per borough.
 
-    Rows are ranked in every task first, so at most ``per_borough`` rows per task
+    With a limit, rows are ranked in every task first, so at most ``per_borough`` rows per task
     and borough are shuffled.
     """
-    w = W.partitionBy("borough").orderBy(*order)
-    return (
-        df.filter(recent).withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= per_borough).drop("_rn")
-        .filter(F.coalesce(F.col("permit_number"), F.lit("")) != "")
-    )
+    rows = df.filter(recent)
+    if per_borough is not None:
+        w = W.partitionBy("borough").orderBy(*order)
+        rows = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= per_borough).drop("_rn")
+    return rows.filter(F.coalesce(F.col("permit_number"), F.lit("")) != "")
 
 
 def new_permits(target: DataFrame, batch: DataFrame, order: list[Column]) -> DataFrame:

@@ -79,3 +79,10 @@ def test_distance_and_shapes(spark):
     assert 3.8 < miles < 4.0
     shapes = ["10001", "10001-1234", "-73.9857", "POINT (1 2)", "multipolygon((", "Main St"]
     assert column(spark, shapes, geo.location_shape) == ["zip", "zip", "coordinate", "wkt_point", "wkt_polygon", None]
+
+
+def test_clean_address_unicode_blanks(spark):
+    from keystead.functions.text import clean_address
+
+    rows = spark.createDataFrame([("12 Main\u00a0Street",), ("12 main street\u00a0apt 4",)], "a string")
+    assert [r[0] for r in rows.select(clean_address(F.col("a"))).collect()] == ["12 Main St", "12 Main St"]
