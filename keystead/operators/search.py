@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geo import within_radius
 from ..functions.numbers import py_round
-from .skew import hot_keys, with_segments
+from .skew import hot_keys
 
 
 @dataclass
@@ -164,13 +164,19 @@ def market_overview(df: DataFrame) -> DataFrame:
     return total.unionByName(parts[0]).unionByName(parts[1])
 
 
+def with_rs_nearby(listings: DataFrame, register: DataFrame) -> DataFrame:
+    """Flag ``rs_nearby``: the listing has a position and the register is not empty."""
+    known = register.limit(1).agg((F.count(F.lit(1)) > 0).alias("known")).scalar()
+    return listings.withColumn("rs_nearby", F.col("lat").isNotNull() & F.col("lng").isNotNull() & known)
+
+
 def listing_detail(
-    listings: DataFrame, sources: DataFrame, history: DataFrame, register: DataFrame, page_rows: int = 10_000
+    listings: DataFrame, sources: DataFrame, history: DataFrame, register: DataFrame, page_rows: int, page: int = 1
 ) -> DataFrame:
-    """Listing with its sources and its price history nested in time order.
+    """Listing with its sources and one page of its price history, nested in time order: always one row a listing.
 
-    A history of more than ``page_rows`` rows is spread over several output
-    rows (``history_page``), so no task ever holds an unbounded array.
+    ``n_history`` counts the whole history; page ``page`` (from 1) holds its rows (page - 1) * page_rows + 1 to
+    page * page_rows, an empty page is NULL. Every task passes on the first rows of each listing only.
     Sources are unique per (listing, source) and therefore few.
     """
     src = (
@@ -179,18 +185,21 @@ def listing_detail(
         .groupBy("listing_id")
         .agg(F.array_sort(F.collect_list(F.struct("source", "s.source_url", "s.scraped_at"))).alias("sources"))
     )
-    cut = with_segments(history, ["listing_id"], "recorded_at", floor=page_rows)
-    hist = cut.groupBy("listing_id", F.col("_seg").alias("history_page")).agg(
-        F.array_sort(
-            F.collect_list(F.struct("recorded_at", "price", "previous_price", "event_type"))
-        ).alias("price_history")
+    entry = ("recorded_at", "price", "previous_price", "event_type")
+    rank = F.row_number().over(W.partitionBy("listing_id").orderBy(*entry))
+    hist = (
+        history.select("listing_id", *entry).withColumn("_rank", rank)
+        .filter((F.col("_rank") <= page * page_rows) & (F.col("_rank") > (page - 1) * page_rows))
+        .groupBy("listing_id")
+        .agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("price_history"))
     )
-    known = register.limit(1).agg((F.count(F.lit(1)) > 0).alias("known")).scalar()
+    total = history.groupBy("listing_id").agg(F.count(F.lit(1)).alias("n_history"))
     return (
-        listings.join(src.withColumnRenamed("listing_id", "id"), "id", "left")
+        with_rs_nearby(listings, register)
+        .join(src.withColumnRenamed("listing_id", "id"), "id", "left")
         .join(hist.withColumnRenamed("listing_id", "id"), "id", "left")
-        .withColumn("history_page", F.coalesce("history_page", F.lit(0)))
-        .withColumn("rs_nearby", F.col("lat").isNotNull() & F.col("lng").isNotNull() & known)
+        .join(total.withColumnRenamed("listing_id", "id"), "id", "left")
+        .withColumn("n_history", F.coalesce("n_history", F.lit(0)))
     )
 
 

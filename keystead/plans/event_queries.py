@@ -445,9 +445,9 @@ def user_messages(spark, sf):
         "observations listings",
         f"""WITH {CHANGES_SQL}, src AS (SELECT listing_id, string_agg(line, ';' ORDER BY source) AS sources FROM
  (SELECT listing_id, source, concat(source, '@', CAST(max(scraped_sec) AS VARCHAR)) AS line FROM observations GROUP BY listing_id, source) GROUP BY listing_id),
- hist AS (SELECT listing_id, string_agg(line, ';' ORDER BY t, price, previous_price) AS price_history FROM
- (SELECT listing_id, scraped_sec AS t, price, previous_price, concat(CAST(scraped_sec AS VARCHAR), ':', CAST(price AS VARCHAR), ':', price_change) AS line FROM changes WHERE price_change IS NOT NULL) GROUP BY listing_id)
-SELECT id, 0 AS history_page, lat IS NOT NULL AS rs_nearby, coalesce(sources, '') AS sources, coalesce(price_history, '') AS price_history
+ hist AS (SELECT listing_id, string_agg(line, ';' ORDER BY rn) FILTER (rn <= 1000) AS price_history, count(*) AS n FROM
+ (SELECT listing_id, row_number() OVER (PARTITION BY listing_id ORDER BY scraped_sec, price, previous_price, price_change) AS rn, concat(CAST(scraped_sec AS VARCHAR), ':', CAST(price AS VARCHAR), ':', price_change) AS line FROM changes WHERE price_change IS NOT NULL) GROUP BY listing_id)
+SELECT id, coalesce(n, 0) AS n_history, lat IS NOT NULL AS rs_nearby, coalesce(sources, '') AS sources, coalesce(price_history, '') AS price_history
 FROM listings LEFT JOIN src ON src.listing_id = id LEFT JOIN hist ON hist.listing_id = id""",
     ),
 )
@@ -460,11 +460,11 @@ def listing_detail(spark, sf):
         "listing_id", F.col("scraped_sec").alias("recorded_at"), "price", "previous_price",
         F.col("price_change").alias("event_type"),
     )
-    out = S.listing_detail(V(spark, sf, "listings"), sources, history, V(spark, sf, "register"))
+    out = S.listing_detail(V(spark, sf, "listings"), sources, history, V(spark, sf, "register"), page_rows=1000)
     src = F.transform("sources", lambda s: F.concat_ws("@", s.source, s.scraped_at.cast("string")))
     his = F.transform("price_history", lambda h: F.concat_ws(":", h.recorded_at.cast("string"), h.price.cast("string"), h.event_type))
     return out.select(
-        "id", "history_page", "rs_nearby",
+        "id", "n_history", "rs_nearby",
         F.coalesce(F.array_join(src, ";"), F.lit("")).alias("sources"),
         F.coalesce(F.array_join(his, ";"), F.lit("")).alias("price_history"),
     )
@@ -480,10 +480,7 @@ def listing_detail(spark, sf):
 def rs_nearby(spark, sf):
     from ..operators import search as S
 
-    none = V(spark, sf, "observations").limit(0)
-    sources = none.selectExpr("listing_id", "source", "source AS source_url", "scraped_sec AS scraped_at")
-    history = none.selectExpr("listing_id", "scraped_sec AS recorded_at", "price", "price AS previous_price", "source AS event_type")
-    out = S.listing_detail(V(spark, sf, "listings"), sources, history, V(spark, sf, "register"))
+    out = S.with_rs_nearby(V(spark, sf, "listings"), V(spark, sf, "register"))
     return out.groupBy("borough").agg(F.count_if("rs_nearby").alias("nearby"))
 
 

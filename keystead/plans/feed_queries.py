@@ -376,9 +376,9 @@ def _chunks(spark, sf):
         "if(id % 33 = 0, 'n/a', cast(block as string)) AS BLOCK", "cast(lot as string) AS LOT",
     )
     header = spark.range(1).select(*[F.lit(c).alias(c) for c in G.REGISTER_COLUMNS])
-    a = base.filter("id % 9 = 0").drop("id").unionByName(header)
-    b = base.filter("id % 9 = 3").drop("id", "STATUS3")
-    c = base.filter("id % 9 = 6").drop("id")
+    a = base.filter("id % 3 = 0").drop("id").unionByName(header)
+    b = base.filter("id % 3 = 1").drop("id", "STATUS3")
+    c = base.filter("id % 3 = 2").drop("id")
     c = c.select(*reversed(c.columns))
     c = c.toDF(*[f" {n.lower()} " for n in c.columns])
     junk = r.select("id", "zip_code")

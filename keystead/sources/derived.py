@@ -12,8 +12,11 @@ SOURCES = ("streeteasy", "craigslist", "zillow", "rentcom", "zumper")
 BOROUGHS = ("Manhattan", "Brooklyn", "Queens", "Bronx", "Staten Island")
 AMENITIES = ("laundry", "dishwasher", "doorman", "gym", "elevator", "roof", "storage", "parking")
 
+#: A user has 30 customers' searches, so users grow with customers.
+USER_ID = "CAST(floor(c_custkey / 30) AS bigint)"
+
 BASE = {
-    "listings": ("orders", "customer", "nation"),
+    "listings": ("orders", "customer", "nation", "documents"),
     "observations": ("lineitem",),
     "saved_searches": ("customer",),
     "permits": ("part",),
@@ -50,7 +53,7 @@ SELECT o_orderkey AS id,
   1 + (o_custkey % 4) * CAST(0.5 AS DOUBLE) AS bathrooms,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(350 + o_custkey % 1200 AS int) END AS sqft,
   CASE WHEN o_orderstatus = 'F' THEN 'removed' ELSE 'active' END AS status,
-  o_orderkey % 200 AS doc_id,
+  o_orderkey % (SELECT greatest(count(*), 1) FROM {{documents}}) AS doc_id,
   CAST(o_orderkey % 256 AS int) AS amenity_bits,
   CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_custkey % 121 AS int) END AS days_on_market,
   CAST(1 + o_custkey % 4 AS int) AS source_count,
@@ -67,7 +70,7 @@ SELECT l_orderkey AS listing_id,
   l_linenumber, l_suppkey, l_partkey
 FROM {{lineitem}}""",
     "saved_searches": f"""
-SELECT c_custkey AS search_id, c_custkey % 50 AS user_id,
+SELECT c_custkey AS search_id, {USER_ID} AS user_id,
   concat('search ', CAST(c_custkey AS string)) AS name,
   CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(900 + c_custkey % 2000 AS int) END AS min_price,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(2500 + c_custkey % 3000 AS int) END AS max_price,
@@ -95,7 +98,7 @@ FROM {{part}}""",
 SELECT p_partkey AS id, CAST(10001 + p_partkey % 280 AS string) AS zip_code,
   CAST(1 + p_partkey % 400 AS string) AS building_number, concat('East ', CAST(1 + p_size AS string), 'th') AS street_name,
   CAST(p_partkey % 1800 AS int) AS block, CAST(p_size AS int) AS lot
-FROM {part} WHERE p_partkey % 3 = 0""",
+FROM {part}""",
     "scrape_runs": f"""
 SELECT event_id AS run_id, ts,
   {_case('user_id % 5', SOURCES)} AS source,
@@ -151,6 +154,6 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-USERS_SQL = """SELECT DISTINCT c_custkey % 50 AS user_id,
-  concat('u', CAST(c_custkey % 50 AS string), '@example.com') AS email,
-  (c_custkey % 50) % 3 <> 0 AS has_token FROM customer"""
+USERS_SQL = f"""SELECT DISTINCT {USER_ID} AS user_id,
+  concat('u', CAST({USER_ID} AS string), '@example.com') AS email,
+  {USER_ID} % 3 <> 0 AS has_token FROM customer"""

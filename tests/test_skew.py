@@ -60,3 +60,21 @@ def test_failure_streak_segments_and_start(spark):
     for floor in (20, 10**6):
         got = health.failure_streak(df, start=start, floor=floor).select("run_id", "streak").collect()
         assert {r.run_id: r.streak for r in got} == want
+
+
+def test_listing_detail_is_one_row_at_every_history_length(spark):
+    from keystead.operators.search import listing_detail
+
+    listings = spark.createDataFrame([(1, 40.7, -74.0), (2, None, None), (3, 40.7, -74.0)], "id long, lat double, lng double")
+    sources = spark.createDataFrame([(1, "zillow", "u", 5)], "listing_id long, source string, source_url string, scraped_at long")
+    history = spark.range(2_500).selectExpr(
+        "1L AS listing_id", "id DIV 2 AS recorded_at", "cast(id AS int) AS price", "0 AS previous_price", "'price_drop' AS event_type"
+    ).union(spark.createDataFrame([(3, 1, 2, 1, "price_increase")], "listing_id long, recorded_at long, price int, previous_price int, event_type string"))
+    register = spark.createDataFrame([(1,)], "id long")
+    for page, want in ((1, (1_000, 0)), (3, (500, 2_000)), (4, None)):
+        rows = {r["id"]: r for r in listing_detail(listings, sources, history, register, page_rows=1_000, page=page).collect()}
+        assert sorted(rows) == [1, 2, 3]
+        assert [rows[i]["n_history"] for i in (1, 2, 3)] == [2_500, 0, 1]
+        got = rows[1]["price_history"]
+        assert (got and (len(got), got[0]["price"])) == want
+        assert rows[2]["rs_nearby"] is False and rows[3]["rs_nearby"] is True
