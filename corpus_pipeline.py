@@ -14,7 +14,7 @@ from keystead.llm.line_runs import drop_repeated_lines
 from keystead.llm.mixing import mix
 from keystead.llm.ngram_join import drop_near_copies
 from keystead.llm.ordinal import drop_toxic
-from keystead.llm.tables import read, stored
+from keystead.llm.tables import read, ship, stored
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,19 +24,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; ``n_chars`` follows."""
+    ship(spark)
     return drop_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     out = mix(docs)
     return out.filter("mix.kept").select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return pieces.encode(docs)
 
 
