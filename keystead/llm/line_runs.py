@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from . import bytewise as bw
 from .tables import stored
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -109,6 +110,7 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
             continue
         drop = set(at.tolist())
         out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
+    bw.release()
     return pd.Series(out)
 
 

@@ -34,6 +34,7 @@ def measured(texts: pa.Array) -> pa.Array:
         long = end - begin >= 6
         cell = doc[long] * TOPICS + (h[long] % np.uint64(TOPICS)).astype(np.int64)
         topic[i:j] = np.bincount(cell, minlength=(j - i) * TOPICS).reshape(-1, TOPICS).argmax(axis=1)
+    bw.release()
     return pa.StructArray.from_arrays([pa.array(tokens), pa.array(topic)], names=["tokens", "topic"])
 
 

@@ -167,6 +167,7 @@ def severity(model: OrdinalModel, text):
         row, col, n, total = feature_counts(texts, model.words)
         eta = np.bincount(row, weights=model.weights[col] * np.log2(1 + n), minlength=len(total)) if len(row) else np.zeros(len(total))
         p = model.exceed(eta)
+        bw.release()
         return pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(p[:, 0])], names=["severity", "toxic"])
 
     return score(text)
