@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, html_text, markov, ordinal, pieces, topk_lists, warc
+from . import digest, html_text, manifest, markov, ordinal, pieces, topk_lists, warc
 from .line_runs import drop_repeated_lines
 from .mixing import mix
 from .ngram_join import NgramJoin
@@ -152,3 +152,68 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND
 @query("op8_warc", WARC_SQL)
 def warc_archives(spark, sf_dir):
     return warc.archived(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+MANIFEST_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS v,
+    [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, replace(text, chr(10), '')] AS t FROM documents
+), bits AS (
+  SELECT doc_id, list_reduce([4294967295::BIGINT] || list_transform(split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, c:
+    list_reduce([xor(a, c)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384::BIGINT * (r & 1)))) AS crc FROM d
+), leaves AS (
+  SELECT d.doc_id, source, sha256(list_reduce(list_transform(v, lambda s: coalesce(strlen(s)::VARCHAR || ':' || s, '-')), lambda a, b: a || b)) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(list_reduce(list_transform(t, lambda s: coalesce(strlen(s)::VARCHAR || ':' || s, '-')), lambda a, b: a || b)) END AS bad
+  FROM d LEFT JOIN bits ON bits.doc_id = d.doc_id
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves
+), nodes AS (
+  SELECT 0 AS level, g, i, leaf AS digest, count(*) OVER (PARTITION BY g) AS n FROM placed
+  UNION ALL
+  SELECT level, g, i, digest, count(*) OVER (PARTITION BY g) AS n FROM (
+    SELECT level + 1 AS level, g, i // 3 AS i, sha256(string_agg(digest, '' ORDER BY i)) AS digest FROM nodes WHERE n > 1 GROUP BY level, g, i // 3)
+), subroots AS (SELECT g, digest AS subroot FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, g AS i, subroot AS digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level, i, digest, count(*) OVER () AS n FROM (
+    SELECT level + 1 AS level, i // 3 AS i, sha256(string_agg(digest, '' ORDER BY i)) AS digest FROM tops WHERE n > 1 GROUP BY level, i // 3)
+), runs AS (
+  SELECT level, g, i // 3 AS run, list(digest ORDER BY i) AS ds FROM nodes WHERE n > 1 GROUP BY level, g, i // 3
+), topruns AS (
+  SELECT level, i // 3 AS run, list(digest ORDER BY i) AS ds FROM tops WHERE n > 1 GROUP BY level, i // 3
+), walk AS (
+  SELECT doc_id, leaf, g, i, 0 AS level, '' AS proof, coalesce(bad, leaf) AS folded FROM placed
+  UNION ALL
+  SELECT doc_id, leaf, w.g, w.i // 3, w.level + 1, proof || array_to_string(ds[: w.i % 3] || ds[w.i % 3 + 2 :], ''),
+    sha256(array_to_string(ds[: w.i % 3] || [folded] || ds[w.i % 3 + 2 :], ''))
+  FROM walk w JOIN runs r ON r.level = w.level AND r.g = w.g AND r.run = w.i // 3
+), low AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY doc_id, leaf ORDER BY level DESC) = 1),
+up AS (
+  SELECT doc_id, leaf, g, g AS i, 0 AS level, proof, folded FROM low
+  UNION ALL
+  SELECT doc_id, leaf, w.g, w.i // 3, w.level + 1, proof || array_to_string(ds[: w.i % 3] || ds[w.i % 3 + 2 :], ''),
+    sha256(array_to_string(ds[: w.i % 3] || [folded] || ds[w.i % 3 + 2 :], ''))
+  FROM up w JOIN topruns r ON r.level = w.level AND r.run = w.i // 3
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY doc_id, leaf ORDER BY level DESC) = 1) u
+JOIN subroots USING (g) CROSS JOIN (SELECT digest AS root FROM tops WHERE n = 1)
+"""
+
+
+@query("op12_merkle_manifest", MANIFEST_SQL)
+def merkle_manifest(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = manifest.leaf_digest(*fields[:-1], F.translate("text", "\n", ""))
+    rows = docs.select(
+        F.col("source").alias("grp"), F.col("doc_id").alias("ord"), manifest.leaf_digest(*fields).alias("digest"),
+        F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, tampered).alias("tampered"))
+    built = manifest.Manifest(rows, ("tampered",))
+    out = built.proofs().withColumn("root", F.lit(built.root).cast("string"))
+    out = out.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "digest"), F.col("path")))
+    return out.select(
+        F.col("ord").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", F.sha2(manifest.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
