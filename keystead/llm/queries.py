@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, html_text, manifest, markov, ordinal, pieces, topk_lists, warc
+from . import collocations, digest, html_text, manifest, markov, ordinal, pieces, topk_lists, warc
 from .line_runs import drop_repeated_lines
 from .mixing import mix
 from .ngram_join import NgramJoin
@@ -217,3 +217,34 @@ def merkle_manifest(spark, sf_dir):
     return out.select(
         F.col("ord").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", F.sha2(manifest.proof_text(F.col("path")), 256).alias("proof_sha256"),
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+COLLOCATION_SQL = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array({ASCII_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))
+  GROUP BY ALL HAVING count(*) >= 30
+), cand AS (SELECT lang, phrase, f AS a, k AS size, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.size, x.k, l.f AS l, r.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) x JOIN cand c USING (lang, phrase)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[: x.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[x.k + 1 :], ' ')
+), weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS outer_f
+  FROM (SELECT lang, w, a, s, unnest(range(1, size - s + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS s FROM cand WHERE size >= 3)) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM weakest JOIN sizes USING (lang) LEFT JOIN inside USING (lang, phrase) WHERE outer_f IS NULL OR 100 * outer_f < 80 * a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", COLLOCATION_SQL)
+def phrase_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents", "lang", "text"))
