@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, digest, html_text, manifest, markov, ordinal, pieces, topk_lists, warc
+from . import collocations, digest, html_text, manifest, markov, ordinal, pieces, suffix_runs, topk_lists, warc
 from .line_runs import drop_repeated_lines
 from .mixing import mix
 from .ngram_join import NgramJoin
@@ -248,3 +248,9 @@ QUALIFY rank <= 2000
 @query("op13_phrase_collocations", COLLOCATION_SQL)
 def phrase_collocations(spark, sf_dir):
     return collocations.collocations(read(spark, sf_dir, "documents", "lang", "text"))
+
+
+@query("op11_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    out = suffix_runs.drop_repeated_bytes(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
