@@ -155,3 +155,29 @@ def salted_join(
             raise ValueError("a residual condition needs an inner join")
         joined = joined.filter(cond)
     return joined.drop("_salt")
+
+
+def grid_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, floor: int, share: int = HOT_SHARE) -> DataFrame:
+    """Equi-join in which a key that is hot on either side becomes a grid of smaller joins.
+
+    The rows of one side take a row of the grid each, those of the other a column (by a hash of their id), and are
+    repeated along it; so every pair still meets once, and no task pairs more than the hot limit of one side with that
+    of the other. Fewer than ``2 * share`` keys can be hot, so their table is safe to broadcast.
+    """
+    sides = []
+    for df, size in ((left, "_rows"), (right, "_cols")):
+        hot = hot_keys(df, keys, floor, share)
+        sides.append(hot.select(*keys, F.ceil(F.col("_n") / F.col("_cap")).cast("int").alias(size)))
+    hot = sides[0].join(sides[1], keys, "full").select(
+        *[F.col(k).alias(f"_h_{k}") for k in keys], *[F.coalesce(c, F.lit(1)).alias(c) for c in ("_rows", "_cols")])
+    names = {k: f"_h_{k}" for k in keys}
+
+    def placed(df: DataFrame, ident: str, own: str, other: str) -> DataFrame:
+        df = df.join(F.broadcast(hot), _same(df, hot, keys, names), "left").drop(*names.values())
+        n = {c: F.coalesce(c, F.lit(1)) for c in (own, other)}
+        mine, along = ("_i", "_j") if own == "_rows" else ("_j", "_i")
+        df = df.withColumn(mine, F.pmod(F.xxhash64(ident), n[own]).cast("int"))
+        return df.withColumn(along, F.explode(F.sequence(F.lit(0), n[other] - 1))).drop("_rows", "_cols")
+
+    out = placed(left, left_id, "_rows", "_cols").join(placed(right, right_id, "_cols", "_rows"), [*keys, "_i", "_j"])
+    return out.drop("_i", "_j")

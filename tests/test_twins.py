@@ -1,9 +1,11 @@
 """Operators against brute force on small fixtures, hot paths switched on."""
 
+import contextlib
 import math
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,20 @@ from keystead.sources import derived as D
 ORDER = ("scraped_sec", "l_linenumber", "l_suppkey", "l_partkey")
 
 
+@contextlib.contextmanager
+def like_large_tables(spark):
+    """No merging of small partitions and no broadcast joins, as tables run that are too large for either."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def hav(a, b, c, d, r):
     p = math.radians
     x = math.sin(p(c - a) / 2) ** 2 + math.cos(p(a)) * math.cos(p(c)) * math.sin(p(d - b) / 2) ** 2
@@ -82,6 +98,59 @@ def test_search_match_twin(spark, sf, floor):
     assert set(pairs) == match_twin(listings.collect(), searches.collect(), True)
 
 
+@pytest.mark.parametrize("floor", [20, 10**6])
+def test_search_match_edges(spark, floor):
+    """Circles over the date line and near poles, ends of price ranges, wide and tiny circles."""
+    rng = random.Random(floor)
+    places = [(0.0, 179.9), (0.0, -179.9), (10.0, 180.0), (89.5, 0.0), (-88.0, 100.0), (40.7, -73.9), (0.0, 0.0)]
+    near = lambda v, d: v + rng.uniform(-d, d)
+    searches = []
+    for i in range(400):
+        lat, lng = rng.choice(places)
+        lo, hi = (rng.choice([None, rng.randrange(0, 9000)]) for _ in range(2))
+        circle = (near(lat, 0.3), near(lng, 0.3), rng.choice([0.0, 0.01, 1.0, 30.0, 400.0, 4000.0])) if rng.random() < 0.7 else (None, None, None)
+        searches.append((i, 1, lo, hi, rng.choice([None, 1, 9]), rng.choice([None, "Bronx", "Mars"]), *circle, True))
+    searches.append((999, 1, -5, -1, None, None, None, None, None, True))
+    searches = spark.createDataFrame(searches, "search_id long, user_id long, min_price int, max_price int, bedrooms int, borough string, "
+                                     "center_lat double, center_lng double, radius_miles double, is_active boolean")
+    listings = []
+    for i in range(300):
+        lat, lng = rng.choice(places)
+        price = rng.choice([None, 0.0, -3.0, float(rng.randrange(9000)), rng.uniform(0, 9000)])
+        lng = (near(lng, 0.5) + 180) % 360 - 180
+        listings.append((i, rng.choice([None, "Bronx", "Mars"]), rng.choice([None, 1, 9]), price, min(90.0, near(lat, 0.5)), lng))
+    listings = spark.createDataFrame(listings, "event_id long, borough string, bedrooms int, price double, lat double, lng double").withColumn("amenities", F.array()).withColumn("quality_score", F.lit(1.0))
+    pairs = [tuple(r) for r in M.match_searches(listings, searches, floor=floor).select("event_id", "search_id").collect()]
+    assert len(pairs) == len(set(pairs)) > 1000
+    assert set(pairs) == match_twin(listings.collect(), searches.collect(), True)
+
+
+def test_search_match_tests_few_pairs(spark):
+    from keystead.plans import event_queries as Q
+
+    big = "/root/testdata/sf0.1"
+    events, searches = Q.alerts(spark, big), D.view(spark, big, "saved_searches").filter("is_active")
+    hits = F.count_if(M.search_criteria())
+    row = M.candidates(events, searches).agg(F.count("*").alias("tested"), hits.alias("hits")).first()
+    assert row.hits > 10**7 and row.tested <= 1.5 * row.hits
+
+
+def test_grid_join_spreads_both_sides(spark):
+    """One key with most searches and few events, and one with most events and few searches, run in many tasks."""
+    from keystead.operators import skew
+
+    left = spark.range(3000).selectExpr("id AS a", "IF(id < 20, 1, IF(id < 2900, 2, id)) AS k")
+    right = spark.range(3000).selectExpr("id AS b", "IF(id < 20, 2, IF(id < 2900, 1, id)) AS k")
+    out = skew.grid_join(left, right, ["k"], "a", "b", 100, share=10).repartition(1).withColumn("one", F.lit(1))
+    pairs = [(r.a, r.b) for r in out.collect()]
+    assert len(pairs) == len(set(pairs)) == 2 * 20 * 2880 + 100
+    with like_large_tables(spark):
+        tasks = skew.grid_join(left, right, ["k"], "a", "b", 100, share=10).groupBy("k", F.spark_partition_id().alias("task")).count().collect()
+    for key in (1, 2):
+        parts = [r["count"] for r in tasks if r.k == key]
+        assert len(parts) > 3 and max(parts) < 0.6 * sum(parts)
+
+
 def limit_twin(rows, limit, window):
     out, seen = set(), defaultdict(deque)
     for user, t, i in sorted(rows):
@@ -105,6 +174,37 @@ def test_rate_limit_twin(spark, spread):
     assert set(got) == limit_twin(rows, 10, 3600)
 
 
+def test_decide_is_the_row_loop_and_can_be_cut(spark):
+    for seed in range(300):
+        rng = random.Random(seed)
+        limit, window, scale = rng.choice([1, 2, 3, 10]), rng.choice([1, 7, 50]), rng.choice([1.0, 0.1, 1 / 3])
+        t = sorted({rng.randrange(rng.choice([30, 300, 3000])) * scale for _ in range(rng.randrange(1, 200))})
+        n = [min(limit, rng.choice([0, 1, 1, 2, 20])) for _ in t]
+        known = [rng.choice([0, 0, 0, 0, 1, 3]) if rng.random() < 0.3 else 0 for _ in t]
+        want, q = [], deque()
+        for x, a, b in zip(t, n, known):
+            while q and q[0] <= x - window:
+                q.popleft()
+            q.extend([x] * b)
+            want.append(max(0, min(a, limit - len(q))))
+            q.extend([x] * want[-1])
+        cuts = sorted(rng.choice(range(len(t) + 1)) for _ in range(rng.randrange(4)))
+        got, state = [], (np.empty(0), np.empty(0, np.int64))
+        for i, j in zip([0, *cuts], [*cuts, len(t)]):
+            if i < j:
+                k, *state = L.decide(np.array(t[i:j]), np.array(n[i:j]), np.array(known[i:j]), *state, limit, window)
+                got += k.tolist()
+        assert got == want, seed
+
+
+def test_rate_limit_spreads_one_user(spark):
+    df = spark.range(0, 1_000_000, 1, 8).selectExpr("1L AS user_id", "CAST(id AS DOUBLE) AS ts_sec", "id")
+    with like_large_tables(spark):
+        rows = L.rate_limit(df, ["id"]).withColumn("task", F.spark_partition_id()).collect()
+    assert [r.id for r in sorted(rows)] == [3600 * w + i for w in range(278) for i in range(10)][: len(rows)] and len(rows) == 2780
+    assert len({r.task for r in rows}) > 4
+
+
 def test_rate_limit_continues_earlier_batches(spark):
     rng = random.Random(1)
     rows = sorted((rng.randrange(4), float(rng.randrange(20000)), i) for i in range(1500))
