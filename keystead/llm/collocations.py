@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .bytewise import mix, release
 from .tables import work_dir
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text whose distinct phrases one counting group holds.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 ROWS = "kind string, block long, bucket int, lang string, n long, a binary, b binary, c binary, d binary, e binary"
 FOUND = "kind string, block long, bucket int, lang string, word string, id long, prefix long, next long, f long, a binary"
 #: Upper case to lower case, piece separators to line feed, tab to space.
@@ -141,6 +141,8 @@ def _count_words(least: int):
             get = ids[r["lang"]].get
             back = np.array([get(w, 0) for w in unpacked(r["a"]).split(b"\n")], np.int64)
             out.append({"kind": "ids", "block": r["block"], "bucket": bucket, "a": packed(back)})
+        del total, ids
+        release()
         return _table(out, schema)
 
     return run
@@ -177,6 +179,7 @@ def _count_pairs(least: int):
             "prefix": pa.array(p[starts]), "next": pa.array(q[starts]), "f": pa.array(f[good]),
         })
         found = pa.table({x.name: found.column(x.name) if x.name in found.column_names else pa.nulls(m, x.type) for x in schema})
+        release()
         return pa.concat_tables([found, _table(rows, schema)])
 
     return run
