@@ -43,6 +43,23 @@ def detect_changes(
     )
 
 
+def upsert_events(current: DataFrame, batch: DataFrame, order: tuple[str, ...], key: str = "canonical_hash", floor: int = HOT_FLOOR) -> DataFrame:
+    """Every row of a batch with its event against the stored table: (batch columns, previous_price, price_change, event_type).
+
+    Rows count in the order of arrival: a batch follows all that is stored, whatever its times, and ``order`` holds
+    within the batch. The first row of a key that is stored as removed is relisted, whatever the price did; of a key
+    that is not stored, listed.
+    """
+    known = current.select(F.col(key).alias("_key"), F.col("price").alias("_price"), (F.col("status") == "removed").alias("_removed"), F.lit(True).alias("_stored"))
+    rows = batch.join(known, F.col(key) == F.col("_key"), "left").drop("_key")
+    out = with_previous(rows, [key], list(order), ["price"], floor)
+    first = F.col("_prev").isNull()
+    old = F.when(first, F.col("_price")).otherwise(F.col("_prev")["price"])
+    changed = price_event(old, F.col("price"))
+    event = F.when(first & F.col("_stored").isNull(), "listed").when(first & F.col("_removed"), "relisted").otherwise(changed)
+    return out.select(*batch.columns, old.alias("previous_price"), changed.alias("price_change"), event.alias("event_type"))
+
+
 def listing_events(changes: DataFrame) -> DataFrame:
     return changes.filter(F.col("event_type").isNotNull())
 
@@ -125,6 +142,15 @@ def merge_listings(current: DataFrame, batch: DataFrame, now: Column, order: tup
     return j.select("canonical_hash", *[v.alias(k) for k, v in cols.items()], *stays)
 
 
+def upsert_listings(store, batch: DataFrame, batch_id: str, now: Column, order: tuple[str, ...]) -> bool:
+    """Merge a batch into a stored listings table (``sources.keyed.KeyedRuns``) that is read and written in one go.
+
+    Only stored rows of the batch's keys are read, and only these are written. A batch that was merged before changes
+    nothing.
+    """
+    return store.apply(batch_id, lambda version: merge_listings(store.read(version, batch), batch, now, order).select(*store.columns))
+
+
 def detect_removed(
     listings: DataFrame, now: Column, hours: int = 48, last_seen: str = "last_seen_at"
 ) -> tuple[DataFrame, DataFrame]:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numbers import py_round
 from ..operators import events as E, health as H, limiter as L, matching as M, messages as T
-from ..session import stored
+from ..session import stored, work_dir
 from ..sources import derived as D, tables
+from ..sources.keyed import KeyedRuns
 from .catalog import METERS, amenity_text, hav, over, query, rnd
 
 V = D.view
@@ -83,11 +84,9 @@ _SIGHT = f"""SELECT CAST(listing_id AS VARCHAR) AS canonical_hash, listing_id,
  CASE WHEN l_linenumber % 2 = 0 THEN 'Queens' ELSE '' END AS borough, source AS source_url, price, {ORD} FROM observations"""
 
 
-@query(
-    "S09_listing_merge",
-    over(
-        "observations listings",
-        f"""WITH sight AS ({_SIGHT}), n AS (SELECT canonical_hash,
+S09_SQL = over(
+    "observations listings",
+    f"""WITH sight AS ({_SIGHT}), n AS (SELECT canonical_hash,
   arg_max(struct_pack(u := source_url, p := price), {AT}) AS x,
   arg_max(lat, {AT}) FILTER (WHERE lat IS NOT NULL) AS lat, arg_max(lng, {AT}) FILTER (WHERE lng IS NOT NULL) AS lng,
   arg_max(neighborhood, {AT}) FILTER (WHERE neighborhood <> '') AS nb, arg_max(borough, {AT}) FILTER (WHERE borough <> '') AS bo,
@@ -102,16 +101,54 @@ SELECT coalesce(c.canonical_hash, n.canonical_hash) AS canonical_hash,
  CASE WHEN c.canonical_hash IS NULL THEN 2 ELSE 1 END AS first_seen_at, CASE WHEN n.canonical_hash IS NULL THEN 1 ELSE 2 END AS last_seen_at,
  c.id, c.bedrooms, c.sqft
 FROM cur c FULL JOIN n ON c.canonical_hash = n.canonical_hash""",
-    ),
 )
+
+
+@query("S09_listing_merge", S09_SQL)
 def listing_merge(spark, sf):
+    return E.merge_listings(_stored_listings(spark, sf), _sightings(spark, sf), F.lit(2), ORDER)
+
+
+def _stored_listings(spark, sf):
     # ids stand in for hashes; 1 marks the load before, 2 this load
-    cur = V(spark, sf, "listings").selectExpr(
+    return V(spark, sf, "listings").selectExpr(
         "CAST(id AS STRING) AS canonical_hash", "'old' AS source_url", "price", "lat", "lng", "neighborhood",
         "borough", "status", "1 AS first_seen_at", "1 AS last_seen_at", "id", "bedrooms", "sqft",
     )
-    batch = spark.sql(_SIGHT.replace("VARCHAR", "STRING").replace("FROM observations", "FROM {observations}"), observations=V(spark, sf, "observations"))
-    return E.merge_listings(cur, batch, F.lit(2), ORDER)
+
+
+def _sightings(spark, sf):
+    return spark.sql(_SIGHT.replace("VARCHAR", "STRING").replace("FROM observations", "FROM {observations}"), observations=V(spark, sf, "observations"))
+
+
+@query("S09_merge_sink", S09_SQL)
+def merge_sink(spark, sf):
+    """The table is stored, then merged with three batches in time order; the last one comes twice."""
+    current, sight = _stored_listings(spark, sf), _sightings(spark, sf)
+    store = KeyedRuns(spark, work_dir(spark, "listings"), "canonical_hash", current.schema)
+    store.apply("load", lambda version: current)
+    lo, hi = sight.agg(F.min("scraped_sec"), F.max("scraped_sec")).first()
+    lo, hi = lo or 0, hi or 0
+    for i in (0, 1, 2, 2):
+        at = F.least(F.floor((F.col("scraped_sec") - lo) * 3 / (hi - lo + 1)), F.lit(2))
+        E.upsert_listings(store, sight.filter(at == i), f"batch {i}", F.lit(2), ORDER)
+    return store.table()
+
+
+@query(
+    "W01_stored_status",
+    over(
+        "observations listings",
+        f"""WITH sight AS ({_SIGHT}), o AS (SELECT *, lag(price) OVER w AS p, row_number() OVER w AS k FROM sight WINDOW w AS (PARTITION BY canonical_hash ORDER BY {ORD})),
+x AS (SELECT o.*, l.id, l.status, CASE WHEN k = 1 THEN l.price ELSE p END AS old_price FROM o LEFT JOIN listings l ON l.id = o.listing_id AND l.id % 5 <> 0)
+SELECT canonical_hash, {ORD}, old_price AS previous_price, CASE WHEN k = 1 AND id IS NULL THEN 'listed' WHEN k = 1 AND status = 'removed' THEN 'relisted'
+ WHEN price < old_price THEN 'price_drop' WHEN price > old_price THEN 'price_increase' END AS event_type FROM x""",
+    ),
+)
+def stored_status(spark, sf):
+    """Events of a batch against the stored table; every fifth listing is not stored, others as removed."""
+    ev = E.upsert_events(_stored_listings(spark, sf).filter("id % 5 <> 0"), _sightings(spark, sf), ORDER)
+    return ev.select("canonical_hash", *ORDER, "previous_price", "event_type")
 
 
 def _seen(spark, sf):
