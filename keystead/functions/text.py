@@ -28,12 +28,12 @@ STREET_TYPES = {
 # Text patterns.
 UNIT_SUFFIX = r"(?iU),?\s*#?\s*(?:apt|apartment|unit|suite|ste|fl|floor|rm|room)\.?\s*[#]?\s*\S+$"
 ORDINAL_ENDINGS = ("st", "nd", "rd", "th")
-CENTS_PRICE = r"\$?\s*([\d,]+(?:\.\d{2})?)"
-DOLLAR_PRICE = r"[\$]?\s*([\d,]+)"
-SQFT_TEXT = r"(?i)([\d,]+)\s*(?:sq\.?\s*ft\.?|sf|sqft)"
-BEDS_TEXT = r"(?i)(\d+)\s*(?:bed(?:room)?s?|br|bd)"
-BATHS_TEXT = r"(?i)([\d.]+)\s*(?:bath(?:room)?s?|ba)"
-STUDIO_TEXT = r"(?i)\bstudio\b"
+CENTS_PRICE = r"(?U)\$?\s*([\d,]+(?:\.\d{2})?)"
+DOLLAR_PRICE = r"(?U)[\$]?\s*([\d,]+)"
+SQFT_TEXT = r"(?iU)([\d,]+)\s*(?:sq\.?\s*ft\.?|sf|sqft)"
+BEDS_TEXT = r"(?iU)(\d+)\s*(?:bed(?:room)?s?|br|bd)"
+BATHS_TEXT = r"(?iU)([\d.]+)\s*(?:bath(?:room)?s?|ba)"
+STUDIO_TEXT = r"(?iU)\bstudio\b"
 
 
 def _first(c: Column, pattern: str) -> Column:
@@ -52,7 +52,7 @@ def _given(c: Column, value: Column) -> Column:
 
 def lower_ordinals(c: Column) -> Column:
     for ending in ORDINAL_ENDINGS:
-        c = F.regexp_replace(c, rf"(?i)\b(\d+){ending}\b", f"$1{ending}")
+        c = F.regexp_replace(c, rf"(?iU)\b(\d+){ending}\b", f"$1{ending}")
     return c
 
 

@@ -39,7 +39,7 @@ def table_scan(spark, sf):
 
 # --- pages ---
 
-_SHOWN = "concat(address, CASE WHEN id % 10 = 0 THEN ' & Rear' ELSE '' END)"
+_SHOWN = '''concat(address, CASE id % 10 WHEN 0 THEN ' & Rear' WHEN 1 THEN concat(' caf', chr(233), ' ', chr(8211), ' 5"') WHEN 2 THEN concat(' &lt;b&gt; &nosuch; ', chr(8364)) WHEN 3 THEN chr(127968) ELSE '' END)'''
 _PAGE = "id // 20 AS page_id, CAST(id % 20 AS INTEGER) AS pos"
 _COLS = ["page_id", "pos", "source_url", "address", "price", "bedrooms", "bathrooms", "sqft", "description", "images", "raw_data"]
 
@@ -472,6 +472,7 @@ def geocode_enrich(spark, sf):
 
 # --- normalisation ---
 
+#: Some texts hold a no-break space, which counts as a blank.
 _RAW = {
     "address": """CASE id % 8 WHEN 0 THEN upper(address) WHEN 1 THEN concat(address, ' Apt 4B') WHEN 2 THEN concat(address, ', Unit #5')
  WHEN 3 THEN concat('  ', CAST(id AS string), ' ocean   parkway ') WHEN 4 THEN concat(CAST(id AS string), ' o''brien-lopez BLVD., suite 9') WHEN 5 THEN ''
@@ -479,11 +480,11 @@ _RAW = {
     "price": """CASE id % 6 WHEN 0 THEN concat('$', CAST(price AS string), '.99') WHEN 1 THEN concat('from $', CAST(price AS string), '/mo') WHEN 2 THEN 'call'
  WHEN 3 THEN ',' WHEN 4 THEN concat('1,', CAST(100 + price % 900 AS string)) ELSE '' END""",
     "bedrooms": """CASE id % 7 WHEN 0 THEN 'Studio' WHEN 1 THEN concat(CAST(bedrooms AS string), ' Beds') WHEN 2 THEN concat(CAST(bedrooms AS string), 'br') WHEN 3 THEN ' 2.5 '
- WHEN 4 THEN 'loft' WHEN 5 THEN NULL ELSE concat(CAST(bedrooms AS string), '') END""",
-    "bathrooms": """CASE id % 5 WHEN 0 THEN concat(CAST(1 + id % 3 AS string), '.5 baths') WHEN 1 THEN concat(CAST(1 + id % 3 AS string), ' BA') WHEN 2 THEN CAST(1 + id % 3 AS string)
- WHEN 3 THEN 'none' ELSE '' END""",
+ WHEN 4 THEN 'loft' WHEN 5 THEN NULL ELSE concat(CAST(bedrooms AS string), chr(160), 'br') END""",
+    "bathrooms": """CASE id % 5 WHEN 0 THEN concat(CAST(1 + id % 3 AS string), '.5 baths') WHEN 1 THEN concat(CAST(1 + id % 3 AS string), ' BA') WHEN 2 THEN concat(CAST(1 + id % 3 AS string), chr(160))
+ WHEN 3 THEN concat(CAST(1 + id % 3 AS string), chr(160), 'bath') ELSE if(id % 2 = 0, 'none', '') END""",
     "sqft": """CASE id % 5 WHEN 0 THEN concat('1,', CAST(100 + id % 900 AS string), ' sq. ft.') WHEN 1 THEN concat(CAST(100 + id % 900 AS string), 'SF') WHEN 2 THEN concat(' ', CAST(id AS string))
- WHEN 3 THEN 'large' ELSE NULL END""",
+ WHEN 3 THEN concat(CAST(100 + id % 900 AS string), chr(160), 'sqft') ELSE if(id % 2 = 0, 'large', NULL) END""",
 }
 _RAW_LIST = ", ".join(f"{e} AS {c}" for c, e in _RAW.items())
 _RAW_SQL = f"raw AS (SELECT id, borough AS source, {_RAW_LIST} FROM listings)"
@@ -508,11 +509,11 @@ def _clean_sql(a: str) -> str:
 
 _PRICE_SQL = "CAST(trunc(TRY_CAST(nullif(replace(regexp_extract(price, '\\$?\\s*([\\d,]+(?:\\.\\d{2})?)', 1), ',', ''), '') AS DOUBLE) * 100) AS BIGINT)"
 _BED_SQL = """CASE WHEN length(bedrooms) > 0 THEN CASE WHEN regexp_matches(bedrooms, '(?i)\\bstudio\\b') THEN 0.0
- ELSE coalesce(TRY_CAST(nullif(regexp_extract(bedrooms, '(\\d+)\\s*(?:bed(?:room)?s?|br|bd)', 1, 'i'), '') AS DOUBLE), TRY_CAST(trim(bedrooms) AS DOUBLE)) END END"""
-_BATH_SQL = """CASE WHEN length(bathrooms) > 0 THEN coalesce(TRY_CAST(nullif(regexp_extract(bathrooms, '([\\d.]+)\\s*(?:bath(?:room)?s?|ba)', 1, 'i'), '') AS DOUBLE),
- TRY_CAST(trim(bathrooms) AS DOUBLE)) END"""
-_SQFT_SQL = """CASE WHEN length(sqft) > 0 THEN coalesce(TRY_CAST(nullif(replace(regexp_extract(sqft, '([\\d,]+)\\s*(?:sq\\.?\\s*ft\\.?|sf|sqft)', 1, 'i'), ',', ''), '') AS INTEGER),
- TRY_CAST(replace(trim(sqft), ',', '') AS INTEGER)) END"""
+ ELSE coalesce(TRY_CAST(nullif(regexp_extract(bedrooms, '(\\d+)[\\s\\x{A0}]*(?:bed(?:room)?s?|br|bd)', 1, 'i'), '') AS DOUBLE), TRY_CAST(trim(bedrooms, concat(' ', chr(160))) AS DOUBLE)) END END"""
+_BATH_SQL = """CASE WHEN length(bathrooms) > 0 THEN coalesce(TRY_CAST(nullif(regexp_extract(bathrooms, '([\\d.]+)[\\s\\x{A0}]*(?:bath(?:room)?s?|ba)', 1, 'i'), '') AS DOUBLE),
+ TRY_CAST(trim(bathrooms, concat(' ', chr(160))) AS DOUBLE)) END"""
+_SQFT_SQL = """CASE WHEN length(sqft) > 0 THEN coalesce(TRY_CAST(nullif(replace(regexp_extract(sqft, '([\\d,]+)[\\s\\x{A0}]*(?:sq\\.?[\\s\\x{A0}]*ft\\.?|sf|sqft)', 1, 'i'), ',', ''), '') AS INTEGER),
+ TRY_CAST(replace(trim(sqft, concat(' ', chr(160))), ',', '') AS INTEGER)) END"""
 _NORM = f"""{_RAW_SQL}, norm AS (SELECT id, source, {_clean_sql('address')} AS address_clean, {_PRICE_SQL} AS price_cents, CAST({_BED_SQL} AS DOUBLE) AS bedrooms,
  {_BATH_SQL} AS bathrooms, {_SQFT_SQL} AS sqft FROM raw)"""
 

@@ -1,12 +1,14 @@
 """Result pages to raw listings, inside the JVM.
 
-Card pages are cut at the cards' start tags and read with patterns; pages with
-embedded JSON go through the VARIANT type. A page without cards or with broken
+Card pages are cut at the cards' start tags; a card, and any element within it,
+ends at its own end tag, found by the running depth of tags of its name. Pages
+with embedded JSON go through the VARIANT type. A page without cards or with broken
 JSON gives no rows, a card without an optional part gives NULL or ''.
 """
 
 from __future__ import annotations
 
+import html.entities
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -82,32 +84,103 @@ def _cls(name: str) -> str:
 
 
 def _open(tag: str, *tests: str) -> str:
-    return rf"(?is)<{tag}\b{''.join(tests)}[^>]*>"
+    return rf"(?is)<{tag}\b{''.join(tests)}{_END}"
 
 
 _ANY = r"([a-zA-Z][\w-]*)"
+_END = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""  # of a tag; > may stand in quotes
+
+
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _balanced(rest: Column, tag: Column) -> Column:
+    """What lies before the end tag that closes an element, given all that follows its start tag.
+
+    The depth runs over the tags of the element's own name; without an end tag everything belongs to it.
+    """
+    same = F.concat(F.lit(r"(?is)</?"), tag, F.lit(rf"\b{_END}"))
+
+    def cut(r: Column) -> Column:
+        tags = F.regexp_extract_all(r, same, F.lit(0))
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+
+        def step(s: Column, t: Column) -> Column:
+            move = F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1)
+            return F.when(s["depth"] == 0, s).otherwise(F.struct((s["depth"] + move).alias("depth"), (s["n"] + 1).alias("n")))
+
+        def inside(t: Column) -> Column:
+            return _let(F.aggregate(t, start, step), lambda s: F.when(s["depth"] != 0, r).otherwise(F.substr(
+                r, F.lit(1),
+                _chars(F.slice(F.split(r, same, -1), F.lit(1), s["n"])) + _chars(F.slice(t, F.lit(1), s["n"] - 1)))))
+
+        return _let(tags, inside)
+
+    return _let(rest, cut)
+
+
+def _chars(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda n, x: n + F.char_length(x))
 
 
 def _inner(card: Column, tag: str, *tests: str) -> Column:
-    """Content of the first element that fits; '' when there is none."""
-    head = "".join(tests)
+    """Content of the first element that fits, up to its own end tag; '' when there is none.
+
+    Mostly the first end tag of the name is the one; tags are counted only where an element of the name lies within.
+    """
+    start = rf"(?is)<{tag}\b{''.join(tests)}{_END}"
     if tag == _ANY:
-        return F.regexp_extract(card, rf"(?is)<{_ANY}\b{head}[^>]*>(.*?)</\1\s*>", 2)
-    return F.regexp_extract(card, rf"(?is)<{tag}\b{head}[^>]*>(.*?)</{tag}\s*>", 1)
+        name, plain = F.regexp_extract(card, start, 1), F.regexp_extract(card, rf"{start}(.*?)</\1\s*>", 2)
+        whole = _balanced(F.regexp_extract(card, f"{start}(.*)", 2), name)
+    else:
+        name, plain = F.lit(tag), F.regexp_extract(card, rf"{start}(.*?)</{tag}\s*>", 1)
+        whole = _balanced(F.regexp_extract(card, f"{start}(.*)", 1), name)
+    nested = lambda p: (p == "") | F.lower(p).contains(F.concat(F.lit("<"), F.lower(name)))
+    return _let(plain, lambda p: F.when(nested(p), whole).otherwise(p))
+
+
+#: A character reference: decimal, hexadecimal, by name, or one of the names that may stand without their semicolon.
+_REFERENCE = r"&(?:#\d{1,9};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]*;|amp|lt|gt|quot|nbsp)"
+_NAMED = {**{f"&{k};": chr(v) for k, v in html.entities.name2codepoint.items()}, "&apos;": "'",
+          **{f"&{k}": chr(html.entities.name2codepoint[k]) for k in ("amp", "lt", "gt", "quot", "nbsp")}}
+#: Numbers 128 to 159 mean characters of code page 1252.
+_CP1252 = {i: bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
+
+
+def _looked_up(value: Column, pairs: dict) -> Column:
+    """Value of a key in a table of single characters, which stands in the plan as two constants."""
+    at = F.array_position(F.split(F.lit("\x1f".join(map(str, pairs))), "\x1f"), value)
+    return F.when(at > 0, F.substr(F.lit("".join(pairs.values())), at.cast("int"), F.lit(1)))
+
+
+def _character(n: Column) -> Column:
+    real = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    text = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.coalesce(_looked_up(n.cast("string"), _CP1252), F.when(real, text), F.lit("\ufffd"))
+
+
+def _decoded(ref: Column) -> Column:
+    number = F.regexp_extract(ref, r"^&#(\d+)", 1).try_cast("bigint")
+    digits = F.nullif(F.regexp_extract(ref, r"^&#[xX]([0-9a-fA-F]+)", 1), F.lit(""))
+    code = F.coalesce(number, F.conv(digits, 16, 10).try_cast("bigint"))
+    return F.when(code.isNotNull(), _character(code)).otherwise(F.coalesce(_looked_up(ref, _NAMED), ref))
 
 
 def _unescape(c: Column) -> Column:
-    for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-        ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-    ):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Character references decoded, each once; unknown names stay."""
+    def decoded(v: Column) -> Column:
+        refs = F.transform(F.regexp_extract_all(v, F.lit(_REFERENCE), F.lit(0)), _decoded)
+        parts = F.zip_with(F.split(v, _REFERENCE, -1), refs, lambda text, ref: F.concat(text, F.coalesce(ref, F.lit(""))))
+        return F.when(v.contains("&"), F.array_join(parts, "")).otherwise(v)
+
+    return _let(c, decoded)
 
 
 def _text(inner: Column) -> Column:
     """Stripped text nodes of an element put together."""
-    return strip(_unescape(F.regexp_replace(inner, r"\s*<[^>]*>\s*", "")))
+    return _let(_unescape(F.regexp_replace(inner, rf"\s*<{_END}\s*", "")), strip)
 
 
 def _value(card: Column, attr: str, tag: str, *tests: str) -> Column:
@@ -117,14 +190,15 @@ def _value(card: Column, attr: str, tag: str, *tests: str) -> Column:
     return _unescape(F.concat(F.regexp_extract(start, pattern, 1), F.regexp_extract(start, pattern, 2)))
 
 
-def _cards(pages: DataFrame, start: str, end: str | None) -> DataFrame:
+def _cards(pages: DataFrame, tag: str, *tests: str) -> DataFrame:
+    """(page_id, pos, card): what lies between a card's start tag and its own end tag, or else the next card."""
     clean = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
     clean = F.regexp_replace(clean, r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    parts = F.split(clean, start)
+    parts = F.split(clean, _open(tag, *tests), -1)
     out = pages.withColumn("_parts", parts).select(
         "page_id", F.posexplode(F.slice("_parts", 2, F.greatest(F.size("_parts"), F.lit(1)))).alias("pos", "card")
     )
-    return out.withColumn("card", F.substring_index("card", end, 1)) if end else out
+    return out.withColumn("card", _balanced(F.col("card"), F.lit(tag)))
 
 
 def _raw(source: str, **cols: Column) -> list[Column]:
@@ -151,7 +225,7 @@ def _text_map(**parts: Column) -> Column:
 
 def streeteasy_cards(pages: DataFrame) -> DataFrame:
     c = F.col("card")
-    cards = _cards(pages, _open("div", _attr("data-testid", "listing-card")), None)
+    cards = _cards(pages, "div", _attr("data-testid", "listing-card"))
     facts = F.regexp_extract_all(
         _inner(c, "ul", _cls(SE_FACTS)), F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)
     )
@@ -161,6 +235,7 @@ def streeteasy_cards(pages: DataFrame) -> DataFrame:
         "href": _value(c, "href", "a", _cls(SE_ADDRESS)),
         "active": _value(c, "src", "img", _cls(SE_IMAGE), _cls(SE_ACTIVE_IMAGE)),
         "img": _value(c, "src", "img", _cls(SE_IMAGE)),
+        "price_text": _text(_inner(c, "span", _cls(SE_PRICE))),
     })
 
     def fact(i: int) -> Column:
@@ -172,7 +247,7 @@ def streeteasy_cards(pages: DataFrame) -> DataFrame:
             F.concat(F.lit(SITES["streeteasy"] + "#"), F.col("addr"))
         ),
         address=F.col("addr"),
-        price=parse_price_dollars(_text(_inner(c, "span", _cls(SE_PRICE)))),
+        price=parse_price_dollars(F.col("price_text")),
         bedrooms=parse_int(fact(0)), bathrooms=parse_float(fact(1)), sqft=parse_int(fact(2)),
         images=_one_image(F.when(F.col("active") != "", F.col("active")).otherwise(F.col("img"))),
         raw_data=_text_map(
@@ -186,35 +261,37 @@ def streeteasy_cards(pages: DataFrame) -> DataFrame:
 
 def zillow_cards(pages: DataFrame) -> DataFrame:
     c = F.col("card")
-    cards = _cards(pages, _open("article", _attr("data-test", "property-card")), "</article>")
+    cards = _cards(pages, "article", _attr("data-test", "property-card"))
     cards = cards.withColumns({
         "addr": _text(_inner(c, "address", _attr("data-test", "property-card-addr"))),
-        "href": absolutize(_value(c, "href", "a", _attr("data-test", "property-card-link")), SITES["zillow"]),
-    })
-
-    def fact(word: str) -> Column:
-        return _text(_inner(c, "abbr", _attr_has("aria-label", word)))
+        "href": _value(c, "href", "a", _attr("data-test", "property-card-link")),
+    }).withColumn("href", absolutize(F.col("href"), SITES["zillow"]))
 
+    cards = cards.withColumns({
+        "price_text": _text(_inner(c, _ANY, _attr("data-test", "property-card-price"))),
+        **{word: _text(_inner(c, "abbr", _attr_has("aria-label", word))) for word in ("bed", "bath", "sqft")},
+    })
     return cards.select(*_raw(
         "zillow",
         source_url=F.when(F.col("href") != "", F.col("href")).otherwise(F.concat(F.lit("https://zillow.com#"), F.col("addr"))),
         address=F.col("addr"),
-        price=parse_price_dollars(_text(_inner(c, _ANY, _attr("data-test", "property-card-price")))),
-        bedrooms=parse_int(fact("bed")), bathrooms=parse_float(fact("bath")), sqft=parse_int(fact("sqft")),
+        price=parse_price_dollars(F.col("price_text")),
+        bedrooms=parse_int(F.col("bed")), bathrooms=parse_float(F.col("bath")), sqft=parse_int(F.col("sqft")),
         images=_one_image(_value(c, "src", "img", _attr("data-test", "property-card-img"))),
     ))
 
 
 def craigslist_cards(pages: DataFrame) -> DataFrame:
     c = F.col("card")
-    cards = _cards(pages, _open("li", _cls("cl-static-search-result")), "</li>")
+    cards = _cards(pages, "li", _cls("cl-static-search-result"))
     cards = cards.withColumns({
         "title": _text(_inner(c, _ANY, _cls("title"))),
         "price_text": _text(_inner(c, _ANY, _cls("price"))),
+        "href": _value(c, "href", "a"),
     })
     return cards.select(*_raw(
         "craigslist",
-        source_url=absolutize(_value(c, "href", "a"), SITES["craigslist"]),
+        source_url=absolutize(F.col("href"), SITES["craigslist"]),
         address=F.col("title"),
         price=parse_price_dollars(F.col("price_text")),
         description=_text(_inner(c, _ANY, _cls("details"))),
@@ -307,25 +384,21 @@ def rentcom_items(pages: DataFrame) -> DataFrame:
 
 def zumper_items(pages: DataFrame) -> DataFrame:
     pattern = rf"(?is)<script\b{_attr('type', 'application/ld+json')}[^>]*>(.*?)</script>"
-    blocks = (
-        pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("b", "json"))
-        .withColumn("d", F.try_parse_json("json")).filter(F.col("d").isNotNull())
-    )
-    d = F.col("d")
-    blocks = blocks.select(
-        "page_id", "b",
-        F.posexplode(F.when(_is(d, "ARRAY"), F.try_variant_get(d, "$", _LIST)).otherwise(F.array(d))).alias("b2", "v"),
-    ).filter(_is(F.col("v"), "OBJECT"))
+    docs = F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), F.try_parse_json)
+    each = F.flatten(F.transform(
+        F.filter(docs, lambda d: d.isNotNull()), lambda d: F.when(_is(d, "ARRAY"), F.try_variant_get(d, "$", _LIST)).otherwise(F.array(d))))
+    none = F.array().cast(_LIST)
+
+    def members(v: Column) -> Column:
+        listed = F.transform(
+            F.try_variant_get(_v(v, "itemListElement"), "$", _LIST), lambda e: F.coalesce(F.try_variant_get(e, "$.item", "variant"), e))
+        kind = _str(_v(v, "@type"))
+        return F.coalesce(F.when(kind == "ItemList", listed).when(kind.isin(*LD_HOME_TYPES), F.array(v)), none)
+
+    # one array per page, so that the position counts all members whatever their block
+    found = F.flatten(F.transform(F.filter(each, lambda v: _is(v, "OBJECT")), members))
+    items = pages.select("page_id", F.posexplode(found).alias("pos", "v")).filter(_is(F.col("v"), "OBJECT"))
     v = F.col("v")
-    kind = _str(_v(v, "@type"))
-    members = F.transform(
-        F.try_variant_get(_v(v, "itemListElement"), "$", _LIST),
-        lambda e: F.coalesce(F.try_variant_get(e, "$.item", "variant"), e),
-    )
-    items = blocks.select(
-        "page_id", "b", "b2",
-        F.posexplode(F.when(kind == "ItemList", members).when(kind.isin(*LD_HOME_TYPES), F.array(v))).alias("b3", "v"),
-    ).filter(_is(F.col("v"), "OBJECT"))
     place, offers, floor, images, geo = (
         _v(v, "address"), _v(v, "offers"), _v(v, "floorSize"), _v(v, "image", "photo"), _v(v, "geo")
     )
@@ -338,8 +411,7 @@ def zumper_items(pages: DataFrame) -> DataFrame:
         _is(offers, "ARRAY"), loose_int(F.try_variant_get(offers, "$[0].price", "variant"))
     )
     sqft = F.when(_is(floor, "OBJECT"), loose_int(_v(floor, "value"))).otherwise(loose_int(floor))
-    pos = (F.col("b") * 1_000_000 + F.col("b2") * 10_000 + F.col("b3")).cast("int")
-    return items.withColumn("pos", pos).withColumn("addr", address).filter(F.col("addr") != "").select(*_raw(
+    return items.withColumn("addr", address).filter(F.col("addr") != "").select(*_raw(
         "zumper",
         source_url=absolutize(_str(_v(v, "url")), SITES["zumper"]),
         address=F.col("addr"), price=price,

@@ -8,17 +8,20 @@ from . import pages as P
 
 PER_PAGE = 20
 
-# The address as shown: every tenth carries an entity that has to be decoded.
-SHOWN = "concat(address, if(id % 10 = 0, ' &amp; Rear', ''))"
+# The address as shown: some carry character references that have to be decoded once.
+SHOWN = """concat(address, CASE id % 10 WHEN 0 THEN ' &amp; Rear' WHEN 1 THEN ' caf&eacute; &#8211; 5&#x22;' WHEN 2 THEN ' &amp;lt;b&amp;gt; &nosuch; &#128;' WHEN 3 THEN ' <b>&#x1F3E0;</b>' ELSE '' END)"""
+# Elements within elements of the same name, closed one by one.
+NESTED = "concat('<span><span>', substring({0}, 1, 1), '</span><span></span></span>', substring({0}, 2))"
 PRICE = "concat('$', format_number(price, 0))"
+PRICE_IN = f"if(id % 2 = 0, {PRICE}, {NESTED.format(PRICE)})"
 
 CARDS = {
     "streeteasy": f"""concat(
  if(id % 2 = 0, '<div data-testid="listing-card">', '<div class="card" data-testid=''listing-card''>'),
- '<p class="{P.SE_TITLE}">', bedrooms, 'BR in ', borough, '</p>',
+ if(id % 6 = 1, '<div title="a > b"><div><div></div>photo</div></div><div/>', ''), '<p class="{P.SE_TITLE}">', bedrooms, 'BR in ', borough, '</p>',
  if(id % 3 = 0, concat('<a class="{P.SE_ADDRESS}">', {SHOWN}, '</a>'),
    concat('<a href="https://streeteasy.com/rental/', id, '" class="x {P.SE_ADDRESS}"> ', {SHOWN}, ' </a>')),
- '<span class="{P.SE_PRICE}">', {PRICE}, '</span>',
+ '<span class="{P.SE_PRICE}">', {PRICE_IN}, '</span>',
  if(id % 4 = 0, '<button class="{P.SE_BASE_RENT}">Base rent</button>', ''),
  if(id % 5 = 0, '<div class="{P.SE_PRICE_TAG}"><span data-testid="tag-text">No Fee</span></div>', ''),
  '<ul class="{P.SE_FACTS}"><li><span class="{P.SE_FACT}">', if(bedrooms = 0, 'Studio', concat(bedrooms, ' beds')), '</span></li>',
@@ -31,11 +34,11 @@ CARDS = {
  if(id % 7 = 0, '', concat('<a data-test="property-card-link" href="', if(id % 2 = 0, 'https://www.zillow.com', ''), '/homedetails/', id, '">')),
  '<img src="https://photos/z', id, '.jpg" data-test="property-card-img"/></a>',
  '<address data-test="property-card-addr">', {SHOWN}, '</address>',
- '<span data-test="property-card-price">', {PRICE}, '/mo</span><abbr aria-label="', bedrooms, ' bedrooms">', bedrooms, ' bd</abbr>',
+ '<span data-test="property-card-price">', {PRICE_IN}, '/mo</span><abbr aria-label="', bedrooms, ' bedrooms">', bedrooms, ' bd</abbr>',
  '<abbr aria-label="', bathrooms, ' bathrooms">', bathrooms, ' ba</abbr>',
  if(sqft IS NULL, '', concat('<abbr aria-label="', sqft, ' sqft">', format_number(sqft, 0), ' sqft</abbr>')), '</article>')""",
     "craigslist": f"""concat('<li class="cl-static-search-result"><a href="', if(id % 2 = 0, '', 'https://newyork.craigslist.org'), '/apt/', id, '.html">',
- '<div class="title">', {SHOWN}, '</div>', if(id % 9 = 0, '', concat('<div class="price">', {PRICE}, '</div>')),
+ '<div class="title">', if(id % 4 = 0, concat('<div><div>', {SHOWN}, '</div></div>'), {SHOWN}), '</div>', if(id % 9 = 0, '', concat('<div class="price">', {PRICE}, '</div>')), if(id % 4 = 1, '<ul><li>a</li><li>b</li></ul>', ''),
  '<div class="details">', bedrooms, 'br - ', borough, '</div></a></li>')""",
     "rentcom": """concat('{"name": "Home ', id, '", "address": "', address, '", "city": "', borough, if(id % 4 = 0, '"', '", "state": "NY"'),
  if(id % 3 = 0, concat(', "price": ', price), if(id % 3 = 1, concat(', "rent": {"min": ', price, ', "max": ', price + 500, '}'), concat(', "rent": "$', format_number(price, 0), '"'))),
@@ -51,9 +54,14 @@ CARDS = {
  if(lat IS NULL, '', concat(', "geo": {"latitude": ', cast(id as double) / 8, ', "longitude": ', -id, '}')), ', "description": "On floor ', id % 9, '."}}')""",
 }
 FRAMES = {
-    "streeteasy": ("<!-- page --><html><body>", "", "</body></html>"),
-    "zillow": ("<html><body>", "\n", "</body></html>"),
-    "craigslist": ("<html><body><ol>", "\n", "</ol></body></html>"),
+    # what follows the last card looks like the parts that a card may lack
+    "streeteasy": (
+        "<!-- page --><html><body>", "",
+        f"""<div class="footer"><button class="{P.SE_BASE_RENT}">Footer</button><div class="{P.SE_PRICE_TAG}"><span data-testid="tag-text">Footer</span></div>
+<ul class="{P.SE_FACTS}"><li><span class="{P.SE_FACT}">9 beds</span></li></ul><img class="{P.SE_IMAGE} {P.SE_ACTIVE_IMAGE}" src="footer.jpg"/></div></body></html>""",
+    ),
+    "zillow": ("<html><body>", "\n", '<a data-test="property-card-link" href="/footer"></a><abbr aria-label="99 sqft">99 sqft</abbr></body></html>'),
+    "craigslist": ("<html><body><ol>", "\n", '<li><div class="price">$1</div></li></ol></body></html>'),
     "rentcom": (
         '<html><body><script id="__NEXT_DATA__" type="application/json">{"props": {"pageProps": {"listings": [',
         ", ",
