@@ -8,13 +8,9 @@ has ``fanout`` runs they are merged into one sorted run of the next level, so a
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
-from . import bytewise as bw
 from .tables import stored
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -101,17 +97,10 @@ def repeated_lines(held: DataFrame, min_docs: int, batches: int = 4, fanout: int
     return index.lines().filter(F.col("docs") >= min_docs)
 
 
-@pandas_udf(StringType())
-def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    out = []
-    for text, at in zip(texts, gone, strict=True):
-        if at is None or not len(at):
-            out.append(text)
-            continue
-        drop = set(at.tolist())
-        out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
-    bw.release()
-    return pd.Series(out)
+def _without(text, gone):
+    """The text without the lines at the places in ``gone`` (null: none)."""
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def drop_repeated_lines(
@@ -130,8 +119,10 @@ def drop_repeated_lines(
         held.join(dup, HASH).filter(F.col("id") != F.col("holder"))
         .groupBy(F.col("id").alias("line_owner"), F.col("th").alias("line_text")).agg(F.collect_set("pos").alias("lines_gone"))
     )
-    out = docs.join(gone, (F.col(id_col) == F.col("line_owner")) & (F.xxhash64(text_col) == F.col("line_text")), "left")
-    columns = [_without(F.col(c), "lines_gone").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    own = docs.select(F.struct(*docs.columns).alias("doc"))  # in one column, so that no name can clash
+    doc = F.col("doc")
+    out = own.join(gone, (doc[id_col] == F.col("line_owner")) & (F.xxhash64(doc[text_col]) == F.col("line_text")), "left")
+    columns = [_without(doc[c], F.col("lines_gone")).alias(c) if c == text_col else doc[c].alias(c) for c in docs.columns]
     if dropped_col:
         columns.append(F.coalesce(F.size("lines_gone"), F.lit(0)).cast("long").alias(dropped_col))
     return out.select(*columns)
