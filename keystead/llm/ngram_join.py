@@ -240,13 +240,16 @@ class NgramJoin:
             .join(self.classes, "sig").filter(F.col("k") * den >= F.col("n") * num)
         )
         self.sets = stored(able.select("rid", "n", _sorted_keys("parts").alias("keys")), "ngram-sets")
-        n_, k_ = F.col("n"), F.size("keys")
-        prefix = n_ - F.ceil(n_ * num / den).cast("long") + 1
-        own = n_ - k_
-        head = F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.least(k_.cast("long"), prefix - own)).cast("int"))
-        self.postings = stored(
-            self.sets.select("rid", "n", own.alias("own"), F.posexplode(head).alias("i", "key"))
-            .select("key", "rid", "n", (F.col("own") + F.col("i")).alias("pos"), (64 * F.col("own") / F.col("n")).cast("int").alias("apart")), "ngram-postings")
+        self.postings = stored(self._posted(self.sets.withColumn("comp", F.col("rid"))), "ngram-postings")
+
+    def _posted(self, sets: DataFrame) -> DataFrame:
+        """(key, rid, n, pos, apart, comp): the prefix n-grams of every set, rare first."""
+        n, k = F.col("n"), F.size("keys")
+        prefix = n - F.ceil(n * self.num / self.den).cast("long") + 1
+        own = n - k
+        head = F.slice("keys", F.lit(1), F.greatest(F.lit(0), F.least(k.cast("long"), prefix - own)).cast("int"))
+        flat = sets.select("rid", "n", "comp", own.alias("own"), F.posexplode(head).alias("i", "key"))
+        return flat.select("key", "rid", "n", (F.col("own") + F.col("i")).alias("pos"), (64 * F.col("own") / F.col("n")).cast("int").alias("apart"), "comp")
 
     def _able(self, x: str, y: str):
         """Length and positional filter on two postings of one n-gram."""
@@ -281,7 +284,7 @@ class NgramJoin:
 
     def pairs(self) -> DataFrame:
         """Every link (a, b) between class representatives, a < b."""
-        return self.verify(self._across(self.postings.withColumn("comp", F.col("rid"))))
+        return self.verify(self._across(self.postings))
 
     def components(self, rounds: int = 1) -> DataFrame:
         """(rid, comp) of the classes that have links.
@@ -292,10 +295,10 @@ class NgramJoin:
         """
         spark = self.sets.sparkSession
         tested = links = spark.createDataFrame([], "a long, b long")
-        posts, labels = self.postings.withColumn("comp", F.col("rid")), None
+        posts, labels = self.postings, None
         for r in range(rounds + 1):
-            if labels is not None:  # of the n-grams that were still open
-                posts = posts.select("key", "rid", "n", "pos", "apart").join(labels, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+            if labels is not None:  # met with the sets, one row each, before these are taken apart again
+                posts = self._posted(self.sets.join(labels, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")))
             open_keys = posts.groupBy("key").agg(
                 F.min_by(F.struct("rid", "n", "pos", "comp"), F.struct(F.shiftright("apart", 2 * r), F.xxhash64("rid", F.lit(r)))).alias("h"),
                 F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"),
@@ -339,5 +342,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     One document of each group stays, the one with the smallest id. Rows with null id stay.
     """
     found = NgramJoin(docs, id_col, text_col, n, num, den).membership()
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("doc"))  # in one column, so that no name can clash
+    return own.join(gone, F.col("doc")[id_col] == F.col("gone"), "left_anti").select("doc.*")
