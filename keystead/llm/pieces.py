@@ -22,8 +22,10 @@ from . import bytewise as bw
 
 MARK = "▁"
 UNIT = re.compile(f"\\n|{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+")
-#: Entries of the word and pair caches of one task; they are emptied beyond it, results do not depend on them.
-CACHE = 100_000
+#: Entries of a worker's tables of piece pairs and trie steps, and of each half of its words; results do not depend on them.
+CACHE, WORDS = 250_000, 60_000
+#: Bytes of text whose distinct words are encoded together.
+BLOCK_BYTES = 2 << 20
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -60,13 +62,26 @@ class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
         self.ids = {p: i for i, (p, ok) in enumerate(zip(vocab.pieces, vocab.normal, strict=True)) if ok and p}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         if vocab.bpe:  # pieces that merging never gives are of no use
             self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self._merged(p) == [p]}
-        #: Ends of pieces: beyond the first that is none no longer piece can end at this place.
-        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
+        #: Beginnings of pieces. The longest one that a prefix of the word ends with tells which pieces end there.
+        self.heads = {p[:k] for p in self.ids for k in range(len(p) + 1)}
+        self.steps: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
         self.floor = min(vocab.scores, default=0.0) - 10
-        self.word, self.start, self.last, self.score = "", [0], [-1], [0.0]
+        self.word, self.state, self.start, self.last, self.score = "", [""], [0], [-1], [0.0]
+
+    def _step(self, x: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+        """From a beginning and one more character: the longest beginning that this ends with, and the (length, id) of
+        the pieces that end here, longest first."""
+        if len(self.steps) > CACHE:
+            self.steps.clear()
+        head = x
+        while head not in self.heads:
+            head = head[1:]
+        ends = tuple((len(head) - k, self.ids[head[k:]]) for k in range(len(head)) if head[k:] in self.ids)
+        self.steps[x] = head, ends
+        return head, ends
 
     def _merged(self, text: str) -> list[str]:
         parts, ids, scores = list(text), self.ids, self.v.scores
@@ -81,40 +96,38 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _fits(self, a: int, b: int) -> bool:
-        if a < 0 or b < 0:  # a character of no piece stands alone
-            return True
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            x, y = self.v.pieces[a], self.v.pieces[b]
-            ok = self.pairs[a, b] = self._merged(x + y) == [x, y]
+        """Whether merging the joined text of two pieces gives these two."""
+        if len(self.pairs) > CACHE:
+            self.pairs.clear()
+        x, y = self.v.pieces[a], self.v.pieces[b]
+        ok = self.pairs[a << 32 | b] = self._merged(x + y) == [x, y]
         return ok
 
-    def _forward(self, word: str, i: int) -> None:
-        """State of the first i characters from those of fewer."""
-        ids, tails, last = self.ids, self.tails, self.last
-        ends, j = [], i - 1
-        while j >= 0 and (x := word[j:i]) in tails:
-            if x in ids:
-                ends.append((j, ids[x]))
-            j -= 1
-        if self.v.bpe:
-            for j, t in reversed(ends):
-                if not j or self._fits(last[j], t):
-                    self.start.append(j)
-                    last.append(t)
-                    return
-            self.start.append(i - 1)
-            last.append(-1)
-            return
-        best = (self.score[i - 1] + self.floor, i - 1, -1)
-        for j, t in reversed(ends):
-            if (s := self.score[j] + self.v.scores[t]) > best[0]:
-                best = (s, j, t)
-        self.score.append(best[0])
-        self.start.append(best[1])
-        last.append(best[2])
+    def _forward(self, word: str, k: int) -> None:
+        """States of all prefixes longer than ``k`` characters, each from those of shorter ones."""
+        steps, pairs, start, last, score, state, v = self.steps, self.pairs, self.start, self.last, self.score, self.state, self.v
+        head = state[k]
+        for i in range(k, len(word)):
+            x = head + word[i]
+            found = steps.get(x)
+            head, ends = found if found is not None else self._step(x)
+            state.append(head)
+            best, at, by = self.floor + (0.0 if v.bpe else score[i]), i, -1  # a character of no piece stands alone
+            if v.bpe:
+                for n, t in ends:
+                    j = i + 1 - n
+                    a = last[j]
+                    ok = not j or a < 0 or pairs.get(a << 32 | t)
+                    if ok or (ok is None and self._fits(a, t)):
+                        at, by = j, t
+                        break
+            else:
+                for n, t in ends:
+                    if (s := score[i + 1 - n] + v.scores[t]) > best:
+                        best, at, by = s, i + 1 - n, t
+                score.append(best)
+            start.append(at)
+            last.append(by)
 
     def encode(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of each of the sorted distinct words."""
@@ -126,12 +139,9 @@ class Encoder:
                 if x != y:
                     break
                 k += 1
-            del self.start[k + 1 :], self.last[k + 1 :]
-            if not self.v.bpe:
-                del self.score[k + 1 :]
+            del self.start[k + 1 :], self.last[k + 1 :], self.state[k + 1 :], self.score[k + 1 :]
             self.word = word
-            for i in range(k + 1, len(word) + 1):
-                self._forward(word, i)
+            self._forward(word, k)
             ids, i = [], len(word)
             while i:
                 j, t = self.start[i], self.last[i]
@@ -164,6 +174,38 @@ class Decoder:
         return self.plain(self.raw(ids))
 
 
+class _Words:
+    """Ids of the words of one worker, and what they decode to.
+
+    Words not met since the younger half was last full are dropped, so common ones stay. Tasks of one worker go on
+    with the tables of the task before.
+    """
+
+    kept: tuple | None = None  # the broadcast vocabulary, and the tables made from it
+
+    def __init__(self, vocab: Vocabulary):
+        self.coder, self.decoder = Encoder(vocab), Decoder(vocab)
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+
+    @classmethod
+    def of(cls, shared):
+        if cls.kept is None or cls.kept[0] is not shared:
+            cls.kept = shared, cls(shared.value)
+        return cls.kept[1]
+
+    def table(self, units: list[list[str]]) -> dict[str, tuple[bytes, bytes]]:
+        """Tables of all words of a block of texts; new ones are encoded together."""
+        if len(self.young) > WORDS:
+            self.old, self.young = self.young, {}
+        words = set().union(*units).difference(self.young)
+        for w in words & self.old.keys():
+            self.young[w] = self.old[w]
+        for w, found in self.coder.encode(sorted(words.difference(self.young))).items():
+            self.young[w] = np.array(found, np.int32).tobytes(), self.decoder.raw(found)
+        return self.young
+
+
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_pieces, ids, round_trip) per row of ``docs``.
 
@@ -173,23 +215,17 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def run(batches):
-        # ids of each known word, and what they decode to
-        coder, decoder, known, said = Encoder(shared.value), Decoder(shared.value), {}, {}
+        words = _Words.of(shared)
         for batch in batches:
             ids = batch.column(0)
             _, at = bw.flat(batch.column(1))
-            for i, j in bw.pieces(at):
+            for i, j in bw.pieces(at, BLOCK_BYTES):
                 texts = batch.column(1).slice(i, j - i).to_pylist()
                 units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-                if len(known) > CACHE:
-                    known.clear()
-                    said.clear()
-                new = set().union(*units).difference(known)
-                for w, found in coder.encode(sorted(new)).items():
-                    known[w] = np.array(found, np.int32).tobytes()
-                    said[w] = decoder.raw(found)
-                codes = [b"".join(map(known.__getitem__, u)) for u in units]
-                good = [decoder.plain(b"".join(map(said.__getitem__, u))) == (t or "") for t, u in zip(texts, units, strict=True)]
+                known, plain = words.table(units), words.decoder.plain
+                found = [[known[w] for w in u] for u in units]
+                codes = [b"".join([c for c, _ in f]) for f in found]
+                good = [plain(b"".join([x for _, x in f])) == (t or "") for t, f in zip(texts, found, strict=True)]
                 size = np.cumsum([0, *(len(c) // 4 for c in codes)])
                 values = pa.array(np.frombuffer(b"".join(codes), np.int32))
                 yield pa.record_batch([ids.slice(i, j - i), pa.array(np.diff(size), pa.int64()),
