@@ -37,12 +37,12 @@ def failure_streak(
     ``start`` (source, streak) gives the streaks the runs continue, one row per
     source of the fixed source list.
 
-    There are only a few sources, so each one is cut into time slices. Inside a
+    There are only a few sources, so each large one is cut into even slices. Inside a
     slice the streak is a running count since the last success; a slice that has
     not seen a success yet continues the streak of the slices before, which comes
     from one short row per slice.
     """
-    cut = with_segments(runs, ["source"], time, floor)
+    cut = with_segments(runs, ["source"], [time, tie], floor)
     ok = F.col("success")
     order = [time, tie]
     so_far = W.partitionBy("source", "_seg").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

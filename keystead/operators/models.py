@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scoring import RS_FEATURES, UNDERVALUE_FEATURES, rs_probability, score_undervalue
 
 SEED = 42
+#: Labelled rows that a model is fitted on at most; beyond that a share of them, drawn by hash.
+MAX_LABELLED = 20_000
 
 
 @dataclass
@@ -25,8 +27,15 @@ class Trained:
 
 
 def draw(key: str, seed: int, n: int) -> Column:
-    """Uniform number in [0, 1) from a hash of the row id: the same on every run."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(n)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """Uniform number in [0, 1) from a digest of the row id: the same on every run, and in other engines."""
+    digest = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(n))))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint") / F.lit(float(1 << 28))
+
+
+def labelled(ids: DataFrame, most: int = MAX_LABELLED, key: str = "id", seed: int = SEED) -> DataFrame:
+    """About ``most`` of the ids (all, if there are no more), drawn by hash, to fit a model on."""
+    share = ids.agg(F.lit(float(most)) / F.count(F.lit(1))).scalar()
+    return ids.filter(draw(key, seed, 998) < share)
 
 
 def _normal(key: str, seed: int, n: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numbers import strip
 from ..functions.permit_fields import bbl
+from .skew import HOT_FLOOR, grid_join
 
 # Columns of the published register and the defaults on load.
 REGISTER_COLUMNS = (
@@ -83,7 +84,7 @@ def _tokens(c: Column) -> Column:
 
 
 def register_match(
-    listings: DataFrame, register: DataFrame, whole_token: bool = False
+    listings: DataFrame, register: DataFrame, whole_token: bool = False, floor: int = HOT_FLOOR
 ) -> DataFrame:
     """Add ``hcr_match``: the address contains 'number street' of any building.
 
@@ -91,8 +92,10 @@ def register_match(
     suffix of that word and the next address word begins with the first letter of
     the key's second word. That pair is the equi-join key; a key with more than
     two words is looked up with its whole second word. ``contains`` then decides.
-    The search runs over distinct addresses, so many copies of an address cost
-    no more than one. Keys without number or street are left out.
+    Blanks before a key only ask for the begin of a word, which its whole first
+    word finds too. The search runs over distinct addresses, so many copies of an
+    address cost no more than one, and very common words are dealt to a grid of
+    tasks. Keys without number or street are left out.
     """
     keys = (
         register.select(
@@ -100,7 +103,7 @@ def register_match(
             (F.trim("building_number") != "").alias("ok1"), (F.trim("street_name") != "").alias("ok2"),
         )
         .filter("ok1 AND ok2").select("needle").distinct()
-        .withColumn("t", _tokens(F.col("needle")))
+        .withColumn("t", _tokens(F.ltrim("needle")))
         .withColumn("long", (F.size("t") > 2) & (F.try_element_at("t", F.lit(3)) != ""))
         .select(
             "needle",
@@ -116,9 +119,8 @@ def register_match(
     head = F.try_element_at("w", F.col("i") + 1)
     nxt = F.try_element_at("w", F.col("i") + 2)
     third = F.try_element_at("w", F.col("i") + 3)
-    starts = F.sequence(F.lit(1), F.length("head") + 1)
-    at = at.withColumn("head", head).withColumn("nxt", nxt).withColumn("third", third)
-    # position length+1 gives the empty suffix: a key may begin with its blank
+    starts = F.sequence(F.lit(1), F.length("head"))
+    at = at.withColumn("head", head).withColumn("nxt", nxt).withColumn("third", third).filter("head <> ''")
     if whole_token:
         starts = F.array(F.lit(1))
     at = at.withColumn("s", F.explode(starts)).withColumn("suffix", F.expr("substring(head, s)"))
@@ -139,7 +141,7 @@ def register_match(
         inside = F.concat(F.lit(" "), F.col("addr"), F.lit(" ")).contains(
             F.concat(F.lit(" "), F.col("needle"), F.lit(" "))
         )
-    hits = probes.join(keys, "probe").filter(inside).select("addr").distinct()
+    hits = grid_join(probes.distinct(), keys, ["probe"], "addr", "needle", floor).filter(inside).select("addr").distinct()
     hits = hits.withColumn("hcr_match", F.lit(True))
     return (
         listings.withColumn("addr", F.upper("address")).join(hits, "addr", "left")

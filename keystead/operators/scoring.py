@@ -173,6 +173,12 @@ def score_all(listings: DataFrame, register: DataFrame) -> DataFrame:
     score, which ``apply_scores`` leaves as it was.
     """
     active = listings.filter(F.col("status") == "active")
+    # the quality score needs one row alone: it comes first, so that no text goes through the joins
+    rated = quality_scores(active.withColumns({
+        "photo_count": F.lit(0), "_own_sources": F.col("source_count"),
+        "source_count": F.coalesce(F.nullif(F.col("source_count"), F.lit(0)), F.lit(1)),
+    }))
+    active = rated.withColumn("source_count", F.col("_own_sources")).drop("_own_sources", "description", "amenities")
     joined = with_comps(active, comps(active))
     ok = F.col("comp_status") == "ok"
     price = F.col("price").cast("double")
@@ -182,11 +188,7 @@ def score_all(listings: DataFrame, register: DataFrame) -> DataFrame:
     dom = F.coalesce(F.col("days_on_market").cast("double"), F.lit(0.0))
     scored = joined.withColumn("undervalue_score", F.when(ok, undervalue_score(ratio, ppsf, dom, F.col("source_count"))))
     scored = rs_features(register_match(scored, register)).withColumn("rs_probability", rs_probability())
-    scored = scored.withColumns({
-        "photo_count": F.lit(0),
-        "source_count": F.coalesce(F.nullif(F.col("source_count"), F.lit(0)), F.lit(1)),
-    })
-    return quality_scores(scored).select("id", "undervalue_score", "rs_probability", "quality_score")
+    return scored.select("id", "undervalue_score", "rs_probability", "quality_score")
 
 
 def apply_scores(listings: DataFrame, scores: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geo import within_radius
 from ..functions.numbers import py_round
-from .skew import hot_keys
+from .skew import HOT_FLOOR, hot_keys, hot_slices
 
 
 @dataclass
@@ -171,12 +171,14 @@ def with_rs_nearby(listings: DataFrame, register: DataFrame) -> DataFrame:
 
 
 def listing_detail(
-    listings: DataFrame, sources: DataFrame, history: DataFrame, register: DataFrame, page_rows: int, page: int = 1
+    listings: DataFrame, sources: DataFrame, history: DataFrame, register: DataFrame, page_rows: int, page: int = 1,
+    floor: int = HOT_FLOOR,
 ) -> DataFrame:
     """Listing with its sources and one page of its price history, nested in time order: always one row a listing.
 
     ``n_history`` counts the whole history; page ``page`` (from 1) holds its rows (page - 1) * page_rows + 1 to
-    page * page_rows, an empty page is NULL. Every task passes on the first rows of each listing only.
+    page * page_rows, an empty page is NULL. The history of a hot listing is cut into even slices; any page is read
+    from the slices that hold its ranks.
     Sources are unique per (listing, source) and therefore few.
     """
     src = (
@@ -186,10 +188,21 @@ def listing_detail(
         .agg(F.array_sort(F.collect_list(F.struct("source", "s.source_url", "s.scraped_at"))).alias("sources"))
     )
     entry = ("recorded_at", "price", "previous_price", "event_type")
-    rank = F.row_number().over(W.partitionBy("listing_id").orderBy(*entry))
+    first, last = (page - 1) * page_rows, page * page_rows
+    cut, any_hot = hot_slices(history.select("listing_id", *entry), ["listing_id"], list(entry), floor)
+    in_slice = F.row_number().over(W.partitionBy("listing_id", "_seg").orderBy(*entry))
+    if any_hot:
+        # counts of the slices before a slice tell which ranks it holds; slices without any of the page are not sorted
+        sizes = cut.filter("_hot").groupBy("listing_id", "_seg").agg(F.count(F.lit(1)).alias("_rows"))
+        before = F.sum("_rows").over(W.partitionBy("listing_id").orderBy("_seg").rowsBetween(W.unboundedPreceding, -1))
+        held = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).filter((F.col("_before") < last) & (F.col("_before") + F.col("_rows") > first))
+        held = held.select(F.col("listing_id").alias("_h_id"), F.col("_seg").alias("_h_seg"), "_before")
+        cut = cut.join(F.broadcast(held), (F.col("listing_id") == F.col("_h_id")) & (F.col("_seg") == F.col("_h_seg")), "left")
+        cut = cut.filter(~F.col("_hot") | F.col("_before").isNotNull()).withColumn("_rank", in_slice + F.coalesce("_before", F.lit(0)))
+    else:
+        cut = cut.withColumn("_rank", in_slice)
     hist = (
-        history.select("listing_id", *entry).withColumn("_rank", rank)
-        .filter((F.col("_rank") <= page * page_rows) & (F.col("_rank") > (page - 1) * page_rows))
+        cut.filter((F.col("_rank") <= last) & (F.col("_rank") > first))
         .groupBy("listing_id")
         .agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("price_history"))
     )

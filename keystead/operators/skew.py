@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import stored
+
 HOT_SHARE = 10_000
 HOT_FLOOR = 1_000_000
 
@@ -36,38 +38,30 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], renamed: dict[str,
     return cond
 
 
-def with_segments(
-    df: DataFrame, keys: list[str], time: str, floor: int = HOT_FLOOR, oversplit: int = 4
-) -> DataFrame:
-    """Add ``_seg`` and ``_hot``: time slices of the hot keys, 0 elsewhere.
+def hot_slices(
+    df: DataFrame, keys: list[str], order: list[str], floor: int = HOT_FLOOR, oversplit: int = 4
+) -> tuple[DataFrame, bool]:
+    """``df`` with ``_seg`` and ``_hot``: slices of the hot keys in ``order``, 0 elsewhere; and if any key is hot.
 
-    Slices follow from exact count, minimum and maximum of a key, so every
-    evaluation of the plan cuts at the same places. All slices together number
-    at most ``2 * oversplit * HOT_SHARE``.
+    Rows of hot keys are range partitioned by key and all of ``order``, whose cuts Spark takes from a sample of the
+    rows: however rows bunch in time, slices are even, and only rows equal in all order columns stay together. The
+    slice numbers are written with the rows, so that every later step sees the same cuts. Without a hot key
+    nothing is written or moved. There are no more slices than ``(oversplit + 2) * HOT_SHARE``.
     """
-    hot = hot_keys(
-        df,
-        keys,
-        floor,
-        extra=(
-            F.min(F.col(time).cast("double")).alias("_lo"),
-            F.max(F.col(time).cast("double")).alias("_hi"),
-        ),
-    )
-    parts = F.ceil(F.col("_n") / F.col("_cap")) * oversplit
-    renamed = {k: f"_h_{k}" for k in keys}
-    hot = hot.select(
-        *[F.col(k).alias(renamed[k]) for k in keys],
-        "_lo",
-        ((F.col("_hi") - F.col("_lo") + 1) / parts).alias("_step"),
-    )
-    out = df.join(F.broadcast(hot), _same(df, hot, keys, renamed), "left")
-    seg = F.floor((F.col(time).cast("double") - F.col("_lo")) / F.col("_step")).cast("int")
-    return (
-        out.withColumn("_hot", F.col("_step").isNotNull())
-        .withColumn("_seg", F.coalesce(seg, F.lit(0)))
-        .drop("_lo", "_step", *renamed.values())
-    )
+    hot = hot_keys(df, keys, floor).select(*[F.col(k).alias(f"_h_{k}") for k in keys], (F.ceil(F.col("_n") / F.col("_cap")) * oversplit).cast("int").alias("_parts"))
+    found = hot.collect()  # fewer than HOT_SHARE keys
+    if not found:
+        return df.withColumn("_hot", F.lit(False)).withColumn("_seg", F.lit(0)), False
+    hot = df.sparkSession.createDataFrame(found, hot.schema)
+    names = {k: f"_h_{k}" for k in keys}
+    out = df.join(F.broadcast(hot), _same(df, hot, keys, names), "left").withColumn("_hot", F.col("_parts").isNotNull())
+    out = out.drop("_parts", *names.values())
+    cut = out.filter("_hot").repartitionByRange(sum(r["_parts"] for r in found), *keys, *order).withColumn("_seg", F.spark_partition_id())
+    return out.filter("NOT _hot").withColumn("_seg", F.lit(0)).unionByName(stored(cut, "slices")), True
+
+
+def with_segments(df: DataFrame, keys: list[str], order: list[str], floor: int = HOT_FLOOR, oversplit: int = 4) -> DataFrame:
+    return hot_slices(df, keys, order, floor, oversplit)[0]
 
 
 def with_previous(
@@ -75,14 +69,16 @@ def with_previous(
 ) -> DataFrame:
     """Add struct ``_prev``: ``fields`` of the preceding row of the same key.
 
-    The first column of ``order`` is the time. Cold keys take one window; a hot
-    key is cut into time slices, and the last row of each slice (a combined
-    aggregate, at most a few ten thousand rows in all) is carried over.
+    Cold keys take one window; a hot key is cut into even slices, and the last row
+    of each slice (a combined aggregate, at most a few ten thousand rows in all) is
+    carried over.
     """
-    cut = with_segments(df, keys, order[0], floor)
+    cut, any_hot = hot_slices(df, keys, order, floor)
     row = F.struct(*fields)
     w = W.partitionBy(*keys, "_seg").orderBy(*order)
     inner = cut.withColumn("_prev", F.lag(row).over(w))
+    if not any_hot:
+        return inner.drop("_seg", "_hot")
     tails = (
         cut.filter("_hot")
         .groupBy(*keys, "_seg")

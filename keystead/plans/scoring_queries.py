@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions.numbers import py_round
 from ..operators import comps as C, models as ML, register as G, scoring as S
 from ..sources import derived as D
 from .catalog import amenity_text, over, query, rnd
@@ -307,30 +308,95 @@ def score_write_back(spark, sf):
     )
 
 
-# --- models: rows-only, the trees differ between libraries ---
+# --- models: draws follow from digests that both engines have; trees differ between libraries, so their results are
+# checked by what must hold of them ---
 
 
-@query("M11_synthetic_sets")
+def _draw(n: int, seed: int = 42) -> str:
+    return f"(CAST(concat('0x', substr(md5(concat(CAST(id AS VARCHAR), '-{seed}-{n}')), 1, 7)) AS BIGINT) / CAST(268435456 AS DOUBLE))"
+
+
+def _pick(n: int, lo, hi) -> str:
+    return f"({lo} + {_draw(n)} * ({hi} - {lo}))"
+
+
+_UNDER_SQL = f"""under AS (SELECT id, ratio, ppsf, dom, src, least(greatest(greatest(0, (1 - ratio) * 150) + CASE WHEN ppsf > 0 THEN greatest(0, (1 - ppsf) * 20) ELSE 0 END
+  - CASE WHEN dom > 30 THEN (dom - 30) * 0.3 ELSE 0 END + (src - 1) * 3 + 5 * sqrt(-2 * ln(greatest({_draw(8)}, 1e-12))) * cos(2 * pi() * {_draw(9)}), 0), 100) AS label
+ FROM (SELECT id, {_pick(1, 0.5, 1.5)} AS ratio, CASE WHEN {_draw(3)} < 0.3 THEN 0 ELSE {_pick(4, 0.5, 1.5)} END AS ppsf, floor({_pick(5, 0, 90)}) AS dom, floor({_pick(6, 1, 5)}) AS src FROM listings))"""
+_RS_SQL = f"""rs AS (SELECT id, hcr, old, many, CASE WHEN {_draw(108)} < CASE WHEN hcr THEN 0.95 ELSE least(
+   CASE WHEN manh THEN least(t + 0.05, 0.95) ELSE t END + dens * 0.1, 0.95) END THEN 1 ELSE 0 END AS label
+ FROM (SELECT *, CASE WHEN tax THEN least(base + 0.25, 0.95) ELSE base END AS t FROM (SELECT *, CASE WHEN old AND many THEN 0.70 WHEN old THEN 0.30 WHEN many THEN 0.15 ELSE 0 END AS base
+  FROM (SELECT id, {_draw(101)} >= 0.7 AS hcr, 2024 - floor({_pick(102, 0, 120)}) < 1974 AS old, CASE WHEN {_draw(103)} < 0.2 THEN 0 ELSE floor({_pick(104, 1, 200)}) END >= 6 AS many,
+   {_draw(105)} >= 0.8 AS tax, {_draw(106)} >= 0.6 AS manh, {_pick(107, 0.0, 0.8)} AS dens FROM listings))))"""
+
+
+@query(
+    "M11_synthetic_sets",
+    over(
+        "listings",
+        f"""WITH {_UNDER_SQL}, {_RS_SQL}
+SELECT 'undervalue' AS set, CAST(id % 10 AS BIGINT) AS part, count(*) AS n, {rnd('avg(label)', 6)} AS mean_label, {rnd('max(label)', 6)} AS max_label, count(*) FILTER (WHERE ppsf > 0) AS marked FROM under GROUP BY id % 10
+UNION ALL SELECT 'rent_stabilized', CAST(id % 10 AS BIGINT), count(*), {rnd('avg(CAST(label AS DOUBLE))', 6)}, {rnd('max(CAST(label AS DOUBLE))', 6)}, count(*) FILTER (WHERE hcr) FROM rs GROUP BY id % 10""",
+    ),
+)
 def synthetic_sets(spark, sf):
     ids = V(spark, sf, "listings").select("id")
-    a = ML.synth_undervalue(ids, 42).groupBy(F.lit("undervalue").alias("set")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("label").alias("mean_label")
-    )
-    b = ML.synth_rs(ids, 42).groupBy(F.lit("rent_stabilized").alias("set")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("label").alias("mean_label")
-    )
-    return a.unionByName(b)
 
+    def summed(name: str, rows: DataFrame, mark) -> DataFrame:
+        return rows.groupBy((F.col("id") % 10).cast("bigint").alias("part")).agg(
+            F.count(F.lit(1)).alias("n"), py_round(F.avg("label"), 6).alias("mean_label"), py_round(F.max("label"), 6).alias("max_label"),
+            F.count_if(mark).alias("marked")).select(F.lit(name).alias("set"), "*")
+
+    under = summed("undervalue", ML.synth_undervalue(ids), F.col("sqft_ppsf_ratio") > 0)
+    return under.unionByName(summed("rent_stabilized", ML.synth_rs(ids), F.col("hcr_match")))
 
-@query("M03_undervalue_model")
+
+_PART = f"CASE WHEN {_draw(998)} >= CAST(20000 AS DOUBLE) / (SELECT count(*) FROM listings) THEN 'unused' WHEN {_draw(999)} < 0.2 THEN 'test' ELSE 'train' END"
+
+
+def _part(spark, sf) -> DataFrame:
+    ids = V(spark, sf, "listings").select("id")
+    kept = ML.labelled(ids).select(F.col("id").alias("kept_id"))
+    part = F.when(F.col("kept_id").isNull(), "unused").when(ML.draw("id", ML.SEED, 999) < 0.2, "test").otherwise("train")
+    return ids.join(kept, F.col("id") == F.col("kept_id"), "left").select(F.col("id").alias("part_id"), part.alias("part"))
+
+
+@query(
+    "M03_undervalue_model",
+    over(
+        "listings",
+        f"""SELECT id, {_PART} AS part, true AS in_range, true AS fits, true AS cheaper_is_better FROM listings""",
+    ),
+)
 def undervalue_model(spark, sf):
+    """The model's scores of all listings: within 0 to 100 or NULL, fitted (R2 on held-out rows above 0.7), and a listing
+    at half its comparables' price does not score lower than at one and a half times."""
     listings = V(spark, sf, "listings")
-    model = ML.train_undervalue(ML.synth_undervalue(listings.select("id"), 42))
+    model = ML.train_undervalue(ML.synth_undervalue(ML.labelled(listings.select("id"))), trees=60)
     feats = S.undervalue_features(C.with_comps(listings, C.comps(listings)))
-    return ML.predict_undervalue(feats, model.model).select("id", "undervalue_score")
+    score = lambda ratio: ML.predict_undervalue(feats if ratio is None else feats.withColumns(
+        {c: F.lit(ratio) for c in ("price_vs_comp_median", "price_vs_comp_p25")}), model.model).select(F.col("id").alias("s_id"), "undervalue_score")
+    cheap, dear = score(0.6).withColumnsRenamed({"s_id": "c_id", "undervalue_score": "cheap"}), score(1.4).withColumnsRenamed({"s_id": "d_id", "undervalue_score": "dear"})
+    out = _part(spark, sf).join(score(None), F.col("part_id") == F.col("s_id"), "left").join(cheap, F.col("part_id") == F.col("c_id"), "left").join(dear, F.col("part_id") == F.col("d_id"), "left")
+    return out.select(
+        F.col("part_id").alias("id"), "part", F.coalesce(F.col("undervalue_score").between(0, 100), F.lit(True)).alias("in_range"),
+        F.lit(model.metrics["test_score"] > 0.7).alias("fits"), F.coalesce(F.col("cheap") >= F.col("dear"), F.lit(True)).alias("cheaper_is_better"))
 
 
-@query("M06_rs_model")
+@query(
+    "M06_rs_model",
+    over("listings", f"SELECT id, {_PART} AS part, true AS in_range, true AS fits, true AS registered_is_likely FROM listings"),
+)
 def rs_model(spark, sf):
-    model = ML.train_rs(ML.synth_rs(V(spark, sf, "listings").select("id"), 42))
-    return ML.predict_rs(_rs_rows(spark, sf), model.model).select("id", "rs_probability")
+    """The model's probabilities of all listings: within 0 to 1, fitted (accuracy on held-out rows above 0.7), and at
+    least one half for any building with a register entry."""
+    model = ML.train_rs(ML.synth_rs(ML.labelled(V(spark, sf, "listings").select("id"))), trees=60)
+    rows = _rs_rows(spark, sf)
+    prob = lambda name, match: ML.predict_rs(rows if match is None else rows.withColumn("hcr_match", F.lit(match)), model.model).select(
+        F.col("id").alias(f"{name}_id"), F.col("rs_probability").alias(name))
+    out = _part(spark, sf)
+    for name, match in (("own", None), ("entered", True)):
+        out = out.join(prob(name, match), F.col("part_id") == F.col(f"{name}_id"), "left")
+    return out.select(
+        F.col("part_id").alias("id"), "part", F.coalesce(F.col("own").between(0, 1), F.lit(True)).alias("in_range"),
+        F.lit(model.metrics["test_accuracy"] > 0.7).alias("fits"), F.coalesce(F.col("entered") >= 0.5, F.lit(True)).alias("registered_is_likely"))

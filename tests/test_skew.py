@@ -29,7 +29,7 @@ def test_previous_row_across_segments(spark):
     df = skewed(spark)
     w = W.partitionBy("k").orderBy("t", "id")
     want = df.withColumn("p", F.lag("price").over(w)).withColumn("pt", F.lag("t").over(w))
-    cut = skew.with_segments(df, ["k"], "t", floor=50)
+    cut = skew.with_segments(df, ["k"], ["t"], floor=50)
     assert cut.filter("_hot").select("_seg").distinct().count() > 10
     got = skew.with_previous(df, ["k"], ["t", "id"], ["price", "t"], floor=50)
     got = got.select("id", F.col("_prev.price").alias("p"), F.col("_prev.t").alias("pt"))
@@ -78,3 +78,52 @@ def test_listing_detail_is_one_row_at_every_history_length(spark):
         got = rows[1]["price_history"]
         assert (got and (len(got), got[0]["price"])) == want
         assert rows[2]["rs_nearby"] is False and rows[3]["rs_nearby"] is True
+
+
+def test_slices_are_even_however_rows_bunch(spark):
+    """90 % of a key's rows in one minute, and a key with all rows at one instant, cut by the tie columns."""
+    df = spark.range(40_000).selectExpr(
+        "IF(id < 20000, 'burst', IF(id < 39000, 'instant', concat('k', id))) AS k",
+        "CASE WHEN id < 18000 THEN 1000000 + id % 60 WHEN id < 20000 THEN id * 1000 WHEN id < 39000 THEN 5 ELSE id END AS t",
+        "id * 7919 % 40009 AS tie", "CAST(id % 13 AS INT) AS price", "id")
+    cut, any_hot = skew.hot_slices(df, ["k"], ["t", "tie"], floor=2000)
+    assert any_hot
+    sizes = [r["count"] for r in cut.filter("_hot").groupBy("k", "_seg").count().collect()]
+    assert len(sizes) > 40 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    got = {r.id: r._prev for r in skew.with_previous(df, ["k"], ["t", "tie"], ["price", "id"], floor=2000).collect()}
+    last = {}
+    for r in sorted(df.collect(), key=lambda r: (r.t, r.tie)):
+        assert (got[r.id] and got[r.id]["id"]) == last.get(r.k), r
+        last[r.k] = r.id
+    assert skew.hot_slices(df, ["k"], ["t"])[1] is False
+
+
+def test_deep_pages_of_a_hot_listing_read_the_slices_of_their_ranks(spark):
+    from keystead.operators import search as S
+
+    listings = spark.createDataFrame([(1, 1.0, 1.0), (2, None, None), (3, 1.0, 1.0)], "id long, lat double, lng double")
+    sources = spark.createDataFrame([(1, "a", "u", 1)], "listing_id long, source string, source_url string, scraped_at long")
+    history = spark.range(9000).selectExpr("IF(id % 30 = 0, 2L, 1L) AS listing_id", "id % 50 AS recorded_at", "id AS price", "id AS previous_price", "'x' AS event_type")
+    register = spark.range(1)
+    rows = sorted((r.recorded_at, r.price) for r in history.filter("listing_id = 1").collect())
+    for floor in (1000, 10**6):
+        for page in (1, 3, 8, 9):
+            out = {r.id: r for r in S.listing_detail(listings, sources, history, register, 1200, page, floor).collect()}
+            assert out[1].n_history == 8700 and out[2].n_history == 300 and out[3].n_history == 0
+            assert [(h.recorded_at, h.price) for h in out[1].price_history or []] == rows[(page - 1) * 1200 : page * 1200]
+            assert len(out[2].price_history or []) == (300 if page == 1 else 0)
+
+
+def test_register_match_with_a_very_common_word(spark):
+    """Every address holds the word; keys that begin with a blank are found at the begin of a word only."""
+    from keystead.operators import register as G
+
+    addresses = [f"{i} EAST 7TH STREET" for i in range(300)] + ["12  EAST 7TH", " 5 EAST 7TH", "A12 EAST 7TH", "", " ", "ONE", None]
+    listings = spark.createDataFrame(list(enumerate(addresses)), "id long, address string")
+    keys = [("7", "East 7th"), ("2", "EAST"), (" 12", "East 7th"), ("12", " East"), ("", "x"), ("300", "Nowhere St"), ("5", "East 7th S")]
+    reg = spark.createDataFrame(keys, "building_number string, street_name string")
+    needles = [f"{n} {s}".upper() for n, s in keys if n.strip() and s.strip()]
+    want = {i: any(k in (a or "").upper() for k in needles) for i, a in enumerate(addresses)}
+    for floor in (5, 10**6):
+        got = {r.id: r.hcr_match for r in G.register_match(listings, reg, floor=floor).collect()}
+        assert got == want

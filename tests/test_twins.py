@@ -263,3 +263,23 @@ def test_similar_twin(spark, sf):
     for r in S.similar(listings, ids).orderBy("id", "rank").collect():
         got[r.id].append(r.similar_id)
     assert all(got.get(i, []) == w for i, w in want.items())
+
+
+@pytest.mark.parametrize("floor", [20, 10**6])
+@pytest.mark.parametrize("miles", [0.25, 40.0, 1500.0])
+def test_proximity_around_the_globe(spark, floor, miles):
+    """Pairs over the date line, around and over the poles."""
+    rng = random.Random(int(miles))
+    spread = miles / 60
+    places = [(0.0, 180.0), (60.0, -180.0), (89.99, 0.0), (-89.9, 170.0), (88.9, 10.0), (40.7, -74.0)]
+
+    def point():
+        lat, lng = rng.choice(places)
+        lat, lng = lat + rng.uniform(-spread, spread), lng + rng.choice([0, 180, 359.999]) * (abs(lat) > 88) + rng.uniform(-spread, spread)
+        return max(-90.0, min(90.0, lat)), (lng + 180) % 360 - 180
+
+    listings = spark.createDataFrame([(i, "a", "active", *point()) for i in range(150)], "id long, address string, status string, lat double, lng double")
+    permits = spark.createDataFrame([(i, "p", "NB", "a", *point()) for i in range(150)], "id long, permit_number string, permit_type string, address string, lat double, lng double")
+    got = [(r.listing_id, r.permit_id) for r in spatial.proximity_alerts(permits, listings, radius=miles, floor=floor).collect()]
+    want = {(a.id, b.id) for a in listings.collect() for b in permits.collect() if hav(a.lat, a.lng, b.lat, b.lng, 3959.0) <= miles}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
