@@ -275,7 +275,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """Each language's first ``top`` phrases by the score of their weakest cut: (lang, rank, phrase, a, l, r, n, score).
 
     Phrases that lie in a longer frequent phrase with at least 80 % of their count are left out. Ties go to the larger
-    count, then to the phrase in byte order. An empty table gives no rows.
+    count, then to the phrase in byte order. An empty table, or one without text, gives no rows; null text is empty, null
+    language ``und``, repeated rows count each; other columns are not read. Very long texts are blocks of their own.
     """
     phrases, sizes = frequent_phrases(docs, text_col, lang_col, longest, least)
     path = work_dir(docs.sparkSession, "phrases")

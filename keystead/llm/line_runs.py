@@ -111,7 +111,8 @@ def drop_repeated_lines(
 
     A line whose key (``line_key``) has ``min_chars`` code points or more and is held by ``min_docs`` documents or more
     stays only in the document with the largest id. Rows of one id with equal texts are one document; rows with
-    null id lose nothing and are not counted; null text stays null. ``dropped_col`` adds the number of lines taken out.
+    null id lose nothing and are not counted; null text stays null; an empty table stays empty, and other columns may have
+    any names. ``dropped_col`` adds the number of lines taken out.
     """
     held = stored(held_lines(docs, id_col, text_col, min_chars), "lines")
     dup = stored(repeated_lines(held, min_docs, batches, fanout).select(*HASH, "holder"), "lines-repeated")

@@ -143,7 +143,8 @@ class Manifest:
     """Tree of trees over ``rows``: (grp, ord, digest, and ``extra`` columns by other names, which come back with the proofs).
 
     Leaves of a group ascend by ``ord`` (null first; ties by digest, so that repeated rows have a defined order); groups
-    ascend by ``grp`` (null first, bytewise) and their roots are the leaves of the upper tree. An empty table has no root.
+    ascend by ``grp`` (null first, bytewise) and their roots are the leaves of the upper tree. An empty table has no root
+    and no proofs. Only these columns are read, so other columns of any name, and texts of any length, cost nothing here.
     """
 
     def __init__(self, rows: DataFrame, extra: tuple[str, ...] = (), fanout: int = 3, height: int = 7):

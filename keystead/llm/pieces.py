@@ -210,7 +210,8 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     """(id, n_pieces, ids, round_trip) per row of ``docs``.
 
     Null text is read as empty and has no pieces. ``round_trip`` says whether decoding gives the text again (it does not where
-    the text holds the mark itself). Rows are encoded one by one, repeated rows alike; other columns are ignored.
+    the text holds the mark itself). Rows are encoded one by one, repeated rows alike; other columns are ignored, and an
+    empty table gives no rows. A very long word costs time and memory in proportion to its length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
