@@ -323,6 +323,38 @@ def deactivate(searches: DataFrame, ids: DataFrame) -> DataFrame:
     ).drop("_gone")
 
 
+def patch_rows(table: DataFrame, patches: DataFrame, key: str, owner: str, order: list[str]) -> DataFrame:
+    """The rows of ``table`` that ``patches`` create or change, whole; patches of another owner's row change nothing.
+
+    A patch has any columns of the table and ``given``, the names of those that it sets (NULL: all that it has), also to
+    NULL. Of several patches of a row the last one that gives a column counts, so they are folded by one combined
+    aggregate. A key that is not stored is created by its first patch's owner; columns never given are NULL.
+    """
+    fields = [c for c in table.columns if c in patches.columns and c not in (key, owner)]
+    at = F.struct(*order)
+    sets = lambda c: F.col("given").isNull() | F.array_contains("given", c)
+    first = patches.groupBy(key).agg(F.min_by(F.col(owner), at).alias("_creator"))
+    mine = patches.groupBy(key, owner).agg(*[F.max_by(F.struct(F.col(c).alias("v")), F.when(sets(c), at)).alias(f"_{c}") for c in fields])
+    j = mine.join(first, key).withColumnsRenamed({key: "_key", owner: "_owner"}).join(table.withColumn("_stored", F.lit(True)), F.col("_key") == F.col(key), "left")
+    known = F.col("_stored").isNotNull()
+    j = j.filter((known & F.col(owner).eqNullSafe(F.col("_owner"))) | (~known & F.col("_creator").eqNullSafe(F.col("_owner"))))
+    new = {key: F.col("_key"), owner: F.col("_owner"), **{c: F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}")["v"]).otherwise(F.col(c)) for c in fields}}
+    return j.select(*[new.get(c, F.col(c)).cast(table.schema[c].dataType).alias(c) for c in table.columns])
+
+
+def notification_pages(df: DataFrame, page: int, per_page: int = 20, unread: bool = False) -> DataFrame:
+    """One page of every user's notifications, newest first, with ``rank``, the user's ``total`` and number of ``pages``.
+
+    Tasks pass on the first rows of a user only; the totals are a combined count.
+    """
+    if unread:
+        df = df.filter(F.col("read_at").isNull())
+    newest = W.partitionBy("user_id").orderBy(F.col("sent_at").desc(), F.col("id").desc())
+    ranked = df.withColumn("rank", F.row_number().over(newest)).filter((F.col("rank") <= page * per_page) & (F.col("rank") > (page - 1) * per_page))
+    totals = df.groupBy(F.col("user_id").alias("_user")).agg(F.count(F.lit(1)).alias("total"))
+    return ranked.join(totals, F.col("user_id") == F.col("_user")).drop("_user").withColumn("pages", F.ceil(F.col("total") / per_page).cast("bigint"))
+
+
 def list_notifications(df: DataFrame, user_id: int, unread: bool = False) -> DataFrame:
     df = df.filter(F.col("user_id") == user_id)
     if unread:

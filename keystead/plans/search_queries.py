@@ -101,6 +101,50 @@ def unread_notifications(spark, sf):
     )
 
 
+@query(
+    "F10_notification_pages",
+    over(
+        "notifications",
+        """SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY sent_at DESC, id DESC) AS rank, count(*) OVER (PARTITION BY user_id) AS total,
+ CAST(ceil(count(*) OVER (PARTITION BY user_id) / 3) AS BIGINT) AS pages FROM notifications WHERE read_at IS NULL QUALIFY rank BETWEEN 4 AND 6""",
+    ),
+)
+def notification_pages(spark, sf):
+    out = S.notification_pages(V(spark, sf, "notifications"), 2, 3, unread=True)
+    return out.select("id", "user_id", F.col("rank").cast("bigint").alias("rank"), "total", "pages")
+
+
+@query(
+    "F12_search_patches",
+    over(
+        "saved_searches",
+        """SELECT search_id, user_id, CASE WHEN search_id % 10 IN (3, 9) THEN 1000 ELSE min_price END AS min_price, CASE WHEN search_id % 10 IN (4, 9) THEN NULL ELSE max_price END AS max_price, name,
+ is_active FROM saved_searches WHERE search_id % 10 IN (3, 4, 9) UNION ALL SELECT -search_id, user_id, 7, NULL, NULL, true FROM saved_searches WHERE search_id % 10 = 5""",
+    ),
+)
+def search_patches(spark, sf):
+    """Patches of one or two fields, in turn, of a user's own and of other users' searches, and new searches."""
+    s = V(spark, sf, "saved_searches")
+    none = F.lit(None).cast("int")
+
+    def patch(last: int, turn: int, given, key=F.col("search_id"), user=F.col("user_id"), price=none, active=F.lit(None).cast("boolean")):
+        return s.filter(F.col("search_id") % 10 == last).select(
+            key.alias("search_id"), user.alias("user_id"), price.alias("min_price"), none.alias("max_price"), active.alias("is_active"),
+            F.array(*[F.lit(g) for g in given]).alias("given"), F.lit(turn).alias("turn"))
+
+    rows = [
+        patch(3, 1, ["min_price"], price=F.lit(1000)), patch(4, 1, ["max_price"]),
+        patch(9, 1, ["min_price", "max_price"], price=F.lit(5)), patch(9, 2, ["min_price"], price=F.lit(1000)),
+        patch(6, 1, ["min_price"], user=F.col("user_id") + 1, price=F.lit(1)),
+        patch(5, 2, ["min_price", "is_active"], key=-F.col("search_id"), price=F.lit(7), active=F.lit(True)),
+        patch(5, 3, ["min_price"], key=-F.col("search_id"), user=F.col("user_id") + 1, price=F.lit(8)),
+    ]
+    patches = rows[0]
+    for r in rows[1:]:
+        patches = patches.unionByName(r)
+    return S.patch_rows(s, patches, "search_id", "user_id", ["turn"]).select("search_id", "user_id", "min_price", "max_price", "name", "is_active")
+
+
 @query(
     "F11_mark_read",
     over(
