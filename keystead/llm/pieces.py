@@ -10,6 +10,7 @@ the pass gives the merge result of the whole word without merging it.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from . import bytewise as bw
 MARK = "▁"
 UNIT = re.compile(f"\\n|{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+")
 #: Entries of a worker's tables of piece pairs and trie steps, and of each half of its words; results do not depend on them.
-CACHE, WORDS = 250_000, 60_000
+CACHE, WORDS = 250_000, 150_000
 #: Bytes of text whose distinct words are encoded together.
 BLOCK_BYTES = 2 << 20
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -175,7 +176,7 @@ class Decoder:
 
 
 class _Words:
-    """Ids of the words of one worker, and what they decode to.
+    """Ids of the words of one worker, and the words that do not decode to themselves.
 
     Words not met since the younger half was last full are dropped, so common ones stay. Tasks of one worker go on
     with the tables of the task before.
@@ -185,8 +186,9 @@ class _Words:
 
     def __init__(self, vocab: Vocabulary):
         self.coder, self.decoder = Encoder(vocab), Decoder(vocab)
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.changed: set[str] = set()
 
     @classmethod
     def of(cls, shared):
@@ -194,15 +196,17 @@ class _Words:
             cls.kept = shared, cls(shared.value)
         return cls.kept[1]
 
-    def table(self, units: list[list[str]]) -> dict[str, tuple[bytes, bytes]]:
-        """Tables of all words of a block of texts; new ones are encoded together."""
+    def table(self, units: list[list[str]]) -> dict[str, bytes]:
+        """Ids of all words of a block of texts; new ones are encoded together, and decoded again."""
         if len(self.young) > WORDS:
             self.old, self.young = self.young, {}
         words = set().union(*units).difference(self.young)
         for w in words & self.old.keys():
             self.young[w] = self.old[w]
         for w, found in self.coder.encode(sorted(words.difference(self.young))).items():
-            self.young[w] = np.array(found, np.int32).tobytes(), self.decoder.raw(found)
+            self.young[w] = array("i", found).tobytes()
+            if self.decoder.raw(found) != w.replace(MARK, " ").encode():
+                self.changed.add(w)
         return self.young
 
 
@@ -223,10 +227,10 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
             for i, j in bw.pieces(at, BLOCK_BYTES):
                 texts = batch.column(1).slice(i, j - i).to_pylist()
                 units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-                known, plain = words.table(units), words.decoder.plain
-                found = [[known[w] for w in u] for u in units]
-                codes = [b"".join([c for c, _ in f]) for f in found]
-                good = [plain(b"".join([x for _, x in f])) == (t or "") for t, f in zip(texts, found, strict=True)]
+                known, changed = words.table(units), words.changed
+                codes = [b"".join(map(known.__getitem__, u)) for u in units]
+                # decoded words put together are the text, but for the mark in front and marks of the text itself
+                good = [not t or (MARK not in t and (not changed or changed.isdisjoint(u))) for t, u in zip(texts, units, strict=True)]
                 size = np.cumsum([0, *(len(c) // 4 for c in codes)])
                 values = pa.array(np.frombuffer(b"".join(codes), np.int32))
                 yield pa.record_batch([ids.slice(i, j - i), pa.array(np.diff(size), pa.int64()),
