@@ -149,16 +149,21 @@ class _Rows(HTMLParser):
 
     def __init__(self):
         super().__init__()
-        self.rows, self.part = [], None
+        self.rows, self.part, self.open = [], None, 0  # open: li elements open within the row, itself included
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         names = (a.get("class") or "").split()
         if tag == "li" and "cl-static-search-result" in names:
             self.rows.append({})
-        elif self.rows and tag == "a":
+            self.open = 1
+        elif not self.open:
+            return
+        elif tag == "li":
+            self.open += 1
+        elif tag == "a":
             self.rows[-1].setdefault("href", a.get("href", ""))
-        elif self.rows:
+        else:
             self.part = next((n for n in names if n in ("title", "price", "details")), self.part)
 
     def handle_data(self, data):
@@ -168,6 +173,8 @@ class _Rows(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "div":
             self.part = None
+        elif tag == "li" and self.open:
+            self.open -= 1
 
 
 def _parse_rows(html: str):
