@@ -116,3 +116,26 @@ def test_geocode_later_component_wins(spark):
     got = {r.key: r for r in GC.flatten_geocode(rows).collect()}
     assert (got["k"].neighborhood, got["k"].zip_code, got["k"].valid_nyc) == ("new", "", True)
     assert got["n"].lat is None and got["n"].neighborhood is None
+
+
+def test_cards_end_at_their_own_end_tag(spark):
+    """Nested elements of one name, tags with > in quotes, unclosed cards, look-alikes after the last card."""
+    from keystead.sources import pages as P
+
+    li = '<li class="cl-static-search-result">'
+    page = (
+        f'<ol>{li}<div class="title"><div>A<div></div></div> 1</div><ul><li>x</li></ul><div class="price">$10</div></li>'
+        f'<li>plain<div class="price">$99</div></li>'
+        f'{li}<a title="a > b" href="/q?x=1&amp;y=2"><div class="title">B &lt;i&gt; &#233;&#xE9;&eacute; &amp;amp; &bogus; &#0; &#128;</div></a></li>'
+        f'{li}<div class="title">C</div><div class="price">$<div>3</div>0</div>'
+        f'{li}<div class="title">D</div></li></ol><div class="footer"><div class="price">$7</div><div class="details">no</div></div>'
+    )
+    df = spark.createDataFrame([(1, page), (2, ""), (3, None), (4, "<li>no card</li>")], "page_id long, html string")
+    got = [(r.pos, r.address, r.price, r.description, r.source_url) for r in P.craigslist_cards(df).orderBy("pos").collect()]
+    assert got == [
+        (0, "A1", 10, "", ""), (1, "B <i> ééé &amp; &bogus; � €", None, "", "https://newyork.craigslist.org/q?x=1&y=2"),
+        (2, "C", 30, "", ""), (3, "D", None, "", ""),
+    ]
+    far = '<script type="application/ld+json">[' + ", ".join('{"@type": "Apartment", "address": "%d"}' % i for i in range(10_050)) + "]</script>"
+    pos = [r.pos for r in P.zumper_items(spark.createDataFrame([(1, far + far)], "page_id long, html string")).select("pos").collect()]
+    assert sorted(pos) == list(range(20_100))
