@@ -36,19 +36,26 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def release() -> None:
-    """Give freed memory back to the system; Python workers live on between tasks."""
+#: What a worker keeps from task to task for one kind of work; other work lets go of it.
+KEPT: list = []
+
+
+def release(keep: bool = False) -> None:
+    """Give freed memory back to the system; Python workers live on between tasks, and with them what KEPT can drop."""
+    if not keep:
+        for drop in KEPT:
+            drop()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def released(run):
+def released(run, keep: bool = False):
     """``run`` (batches to batches) that gives its memory back at the end."""
 
     def inner(batches):
         yield from run(batches)
-        release()
+        release(keep)
 
     return inner
 

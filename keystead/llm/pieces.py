@@ -196,6 +196,10 @@ class _Words:
             cls.kept = shared, cls(shared.value)
         return cls.kept[1]
 
+    @classmethod
+    def drop(cls) -> None:
+        cls.kept = None
+
     def table(self, units: list[list[str]]) -> dict[str, bytes]:
         """Ids of all words of a block of texts; new ones are encoded together, and decoded again."""
         if len(self.young) > WORDS:
@@ -210,6 +214,9 @@ class _Words:
         return self.young
 
 
+bw.KEPT.append(_Words.drop)
+
+
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_pieces, ids, round_trip) per row of ``docs``.
 
@@ -238,7 +245,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                                       names=["id", "n_pieces", "ids", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(bw.released(run), f"id {kind}, n_pieces long, ids array<int>, round_trip boolean")
+    out = docs.select(id_col, text_col).mapInArrow(bw.released(run, keep=True), f"id {kind}, n_pieces long, ids array<int>, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 
