@@ -165,6 +165,44 @@ def test_html_on_given_pages(shipped, sf):
         assert html_text.main_text(r.html) == "\n".join(x for x in want if x)
 
 
+def test_html_without_article_tags(shipped, sf):
+    """Density alone finds the text of the given pages: every block, and nothing else."""
+    for r in shipped.read.parquet(f"{sf}/pages.parquet").collect():
+        bare = re.sub(r"</?article>", lambda m: m[0].replace("article", "div"), r.html)
+        assert html_text.main_text(bare) == html_text.main_text(r.html) != ""
+
+
+BODY = "<p>" + "A sentence of the article, long enough to weigh. " * 4 + "</p>"
+SENTENCE = ("A sentence of the article, long enough to weigh. " * 4).strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<article>{BODY}<p title="a hidden gem">Gem.</p></article>', SENTENCE + "\nGem."),
+    (f'<article>{BODY}<p class="share-price">Up.</p><p id="search">Found.</p></article>', SENTENCE + "\nUp.\nFound."),
+    (f"<header>Site</header><article><header><h1>Title</h1></header>{BODY}</article>", "Title\n" + SENTENCE),
+    (f'<div class="content no-sidebar">{BODY}</div><div class="site-header">x</div><div class="share-buttons">y</div>', SENTENCE),
+    (f"<article>Teaser.</article><div>{BODY}{BODY}</div>", SENTENCE + "\n" + SENTENCE),
+    (f'<article>{BODY}<p hidden>No.</p><p style="display: none">No.</p><aside>No.</aside><p class="ad">No.</p><p>x</p></article><p>Left out.</p>', SENTENCE + "\nx"),
+    ("<p>a &lt; b</p><!-- never ends <p>no</p>", "a < b"),
+    ("<p>a</p><!-- no", "a"),
+    ("<p>a</p><script>no <b>", "a"),
+    ("1 < 2 and <a b", "1 < 2 and <a b"),
+])
+def test_html_marks_and_edges(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("part", ["<a b", '<a "', "<a '", "<script", "<!-- ", "<div>", "<a b>", "< ", "</p"])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_html_is_linear(part, end):
+    import time
+
+    page = part * (1_000_000 // len(part)) + end
+    t = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - t < 8
+
+
 def brute_levels(data):
     out = []
     for i in range(len(data) - 63):
