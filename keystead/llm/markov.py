@@ -1,7 +1,11 @@
 """Secret scan: patterns with fixed rules, and strings that a character Markov model finds random.
 
-Two models of character pairs, one of random strings and one of ordinary identifiers, are trained from labelled samples;
-a token is a secret when its log-likelihood ratio per character and in total is above the thresholds.
+Two models of character pairs, one of random strings and one of ordinary identifiers, are trained from labelled samples
+cut like the tokens that are scanned; a token is a secret when its log-likelihood ratio per character is above a threshold
+taken from held-out samples.
+
+Null and empty texts have no spans, an empty table gives an empty one; rows are scanned one by one, so repeated rows
+repeat their spans, and further columns stay. Whole texts are scanned, whatever their length.
 """
 
 from __future__ import annotations
@@ -22,17 +26,36 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Tokens the models judge: runs of key characters that hold a digit.
+#: Tokens the models judge: runs of key characters that hold a letter and LEAST_KINDS different characters.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_KINDS = 8
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CLASS = np.full(128, len(ALPHABET))
 CLASS[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
-#: A token is random from this mean log-likelihood ratio per character on.
-LEAST_MEAN = 0.5
+#: Share of the held-out ordinary samples that may score above the threshold.
+FALSE_ALARMS = 0.002
 #: Weight of the single-character frequencies in a transition row.
 SMOOTH = 5.0
-#: At most this many documents (smallest text hash) give identifiers for training.
-MAX_DOCS = 5_000
+#: Bounds of the labelled samples: documents (expected number, drawn by row hash) and words (least hashes) that identifiers
+#: are made of, samples of each kind.
+SAMPLED_DOCS, SAMPLED_WORDS, SAMPLES = 5_000, 5_000, 8_000
+# fixed values: words that identifiers in programs are made of
+WORDS = (
+    "account action address admin agent api app array async auth base batch block body bool buffer build button byte cache call check "
+    "child class client cloud code column command config connect content context control copy count create cursor data date debug default "
+    "delete device dir document domain double dump edge email encode error event example export factory fetch field file filter find flag "
+    "float folder format frame from function get global graph group handler hash header height host html http https image import index "
+    "info init input insert int interface item job json key label layer length level library line link list load local lock log long "
+    "main manager map master memory message method metric mode model module name network node null number object offset option order output "
+    "package page param parse password path pattern pixel pointer pool port process project property protocol proxy query queue random read "
+    "record remove report request reset resource response result return role route row rule schema scope script search select sequence server "
+    "service session set shape signature size socket sort source spec start state static status step store stream string sum switch "
+    "system table target task template test text thread time token trace train transform tree type update upload url user util valid value "
+    "vector version view web width window worker write xml zip").split()
+RUNS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "qwertyuiopasdfghjklzxcvbnm")
+RANDOM_SETS = (
+    "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", ALPHABET[:52],
+    ALPHABET[:26], ALPHABET[:26] + "0123456789", ALPHABET[26:52] + "0123456789")
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
@@ -83,33 +106,95 @@ def train(samples: DataFrame) -> np.ndarray:
     return log_ratio(tables[1], tables[0])
 
 
-def labelled_samples(docs: DataFrame, text_col: str = "text", random_rows: int = 4_000, max_docs: int = MAX_DOCS, seed: int = 11) -> DataFrame:
-    """(text, random): drawn strings over hex, base 32, base 62 and base 64 characters, and words of at most ``max_docs`` documents."""
-    spark = docs.sparkSession
+def sampled_words(docs: DataFrame, text_col: str = "text", max_docs: int = SAMPLED_DOCS, max_words: int = SAMPLED_WORDS) -> list[str]:
+    """Words of 3 to 15 letters of about ``max_docs`` documents, those of least hash: a bounded list.
+
+    Documents are drawn by the hash of the row, of all columns that have one, so neither order nor copies matter.
+    """
+    rows = docs.count()
+    named = [f.name for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    drawn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in named]), F.lit(max(rows, 1))) < max_docs
+    word = F.explode(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{3,15}(?![A-Za-z0-9])"), F.lit(0)))
+    words = docs.filter(drawn).select(word.alias("word")).distinct()
+    return sorted(r[0] for r in words.orderBy(F.xxhash64("word"), "word").limit(max_words).collect())
+
+
+def identifier(words: list[str], rng: np.random.Generator) -> str:
+    """An ordinary token of 16 or more characters: words in one of the usual styles, now and then with numbers, or a run."""
+    style = rng.integers(0, 10)
+    if style == 9:
+        run = RUNS[rng.integers(0, len(RUNS))]
+        at = rng.integers(0, len(run))
+        return (run[at:] + run * 3)[: rng.integers(16, 41)]
+    least, out = rng.integers(16, 41), []
+    while sum(map(len, out)) < least:
+        w = (words if rng.random() < 0.5 and words else WORDS)
+        out.append(w[rng.integers(0, len(w))])
+        if rng.random() < 0.12:
+            out.append(str(rng.integers(0, 10 ** rng.integers(1, 5))))
+        if rng.random() < 0.05:
+            out[-1] = out[-1].upper()
+    if style < 3:
+        return "".join(w[:1].upper() + w[1:] for w in out)
+    if style < 5:
+        return out[0] + "".join(w[:1].upper() + w[1:] for w in out[1:])
+    return ("_", "-", "/", "", "_")[style - 5 if style < 9 else 0].join(out)
+
+
+def samples(words: list[str], n: int = SAMPLES, seed: int = 11) -> list[tuple[str, bool]]:
+    """``n`` labelled strings of each kind: (text, random). Repeats exactly for the same words and seed."""
     rng = np.random.default_rng(seed)
-    sets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[:62], ALPHABET[:64]]
-    drawn = [("".join(np.array(list(sets[i % 4]))[rng.integers(0, len(sets[i % 4]), 32)]), True) for i in range(random_rows)]
-    some = docs.select(F.col(text_col).alias("text")).filter("text is not null").withColumn("h", F.xxhash64("text")).orderBy("h").limit(max_docs)
-    word = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]{2,}"), F.lit(0)))
-    return spark.createDataFrame(drawn, "text string, random boolean").union(some.select(word.alias("text"), F.lit(False).alias("random")))
+    out = []
+    for i in range(n):
+        kinds = RANDOM_SETS[i % len(RANDOM_SETS)]
+        out.append(("".join(kinds[j] for j in rng.integers(0, len(kinds), rng.integers(16, 65))), True))
+        out.append((identifier(words, rng), False))
+    return out
 
 
-def random_spans(text: str, table: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Tokens outside the given spans that hold letters and digits and look random."""
-    out = []
+def judged(token: str) -> bool:
+    return len(set(token)) >= LEAST_KINDS and any(c.isalpha() for c in token)
+
+
+def score(token: str, table: np.ndarray) -> float:
+    """Mean log-likelihood ratio per pair of characters."""
+    c = CLASS[np.frombuffer(token.encode(), np.uint8)]
+    return float(table[c[:-1], c[1:]].mean())
+
+
+def threshold(held_out: list[tuple[str, bool]], table: np.ndarray) -> float:
+    """The score that only FALSE_ALARMS of the ordinary samples exceed."""
+    ordinary = [score(t, table) for t, is_random in held_out if not is_random and judged(t)]
+    return max(0.0, float(np.quantile(ordinary, 1 - FALSE_ALARMS)))
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, float]:
+    """Table and threshold of the models, from samples that follow the words of ``docs``; the threshold from others than the table."""
+    words = sampled_words(docs, text_col)
+    table = train(docs.sparkSession.createDataFrame(samples(words), "text string, random boolean"))
+    return table, threshold(samples(words, seed=12), table)
+
+
+def random_spans(text: str, model: tuple[np.ndarray, float], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Tokens outside the given spans that look random."""
+    table, least = model
+    out, at = [], 0
+    taken = sorted((a, b) for a, _, b in taken)
     for m in TOKEN.finditer(text):
-        s = m.group()
-        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        # spans of two kinds may overlap, so those that begin before the token's end are looked through
+        k = at
+        while k < len(taken) and taken[k][0] < m.end() and taken[k][1] <= m.start():
+            k += 1
+        if k < len(taken) and taken[k][0] < m.end():
             continue
-        c = CLASS[np.frombuffer(s.encode(), np.uint8)]
-        if table[c[:-1], c[1:]].sum() >= LEAST_MEAN * (len(s) - 1):
+        if judged(m.group()) and score(m.group(), table) > least:
             out.append((m.start(), 3, m.end()))
     return out
 
 
-def scan(docs: DataFrame, table: np.ndarray, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+def scan(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """``docs`` with an array of spans (kind, start, end) in code points, end exclusive, by start and then kind. Null text has none."""
 
     @pandas_udf(SPANS)
@@ -118,7 +203,7 @@ def scan(docs: DataFrame, table: np.ndarray, text_col: str = "text", spans_col:
         for text in texts:
             found = fixed_spans(text) if text else []
             if text:
-                found = sorted(found + random_spans(text, table, found))
+                found = sorted(found + random_spans(text, model, found))
             out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in found])
         return pd.Series(out)
 

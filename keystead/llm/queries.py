@@ -122,7 +122,7 @@ def topk_search(spark, sf_dir):
 @query("op7_secret_scan")
 def secret_scan(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    out = markov.scan(docs, markov.train(markov.labelled_samples(docs))).drop("text")
+    out = markov.scan(docs, markov.fit(docs)).drop("text")
     base = F.filter("spans", lambda s: s["kind"] != "random")
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -296,12 +296,63 @@ def test_secret_spans(shipped):
     text = f'a é token = abcde, API_KEY: "abcdef" AKIA{"A1" * 9} {"0af" * 9} see {key} and ordinary_identifier_name_2024 ok'
     df = shipped.createDataFrame([(1, text), (2, None), (3, ""), (4, "ſecret: abcdefgh"), (1, text)], "doc_id long, text string").withColumn("kind", F.lit(1))
     words = shipped.createDataFrame([("ordinary identifier name of words that people use in their programs and other text".replace(" ", "_"),)], "text string")
-    table = markov.train(markov.labelled_samples(words.unionAll(words)))
-    got = sorted((r.doc_id, [(s.kind, text[s.start : s.end]) for s in r.spans]) for r in markov.scan(df, table).collect())
+    model = markov.fit(words.unionAll(words))
+    got = sorted((r.doc_id, [(s.kind, text[s.start : s.end]) for s in r.spans]) for r in markov.scan(df, model).collect())
+    assert markov.scan(df.limit(0), model).count() == 0 and markov.sampled_words(df.limit(0)) == []
     want = [("assign", 'API_KEY: "abcdef'), ("access", "AKIA" + "A1" * 9), ("hex", "0af" * 9), ("random", key)]
     assert got == [(1, want), (1, want), (2, []), (3, []), (4, [])]
 
 
+IDENTIFIERS = (
+    "getUserAccountById2Handler https_www_example_com_index_2 MyApplicationConfigurationV2 SHA256withRSAEncryption1 ConvolutionalLayer2DTranspose "
+    "XMLHttpRequest2Specification abcdefghijklmnopqrstuvwxyz0123456789 internationalization_of_names Donaudampfschifffahrtsgesellschaft "
+    "/usr/local/lib/python3/site-packages pneumonoultramicroscopic AbstractSingletonProxyFactoryBean").split()
+
+
+def test_secret_models_on_held_out_strings(shipped, sf):
+    """Precision and recall on other draws, with words of documents that the models did not see."""
+    docs = shipped.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    seen, other = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    table, least = markov.fit(seen)
+    unseen = sorted(set(markov.sampled_words(other)) - set(markov.sampled_words(seen)))
+    assert len(unseen) > 100
+    rows = [(t, r) for t, r in markov.samples(unseen, 3_000, seed=99) if markov.judged(t)]
+    hit = [(markov.score(t, table) > least, r, any(c.isdigit() for c in t)) for t, r in rows]
+    for digits in (True, False):
+        found = sum(h and r for h, r, d in hit if d == digits)
+        assert found >= 0.9 * sum(r for _, r, d in hit if d == digits)
+        assert found >= 0.9 * sum(h for h, _, d in hit if d == digits)
+    assert [t for t in IDENTIFIERS if markov.score(t, table) > least] == []
+
+
+def test_secret_spans_by_plain_scan(shipped, sf):
+    """Spans of the registered query against one scan character by character."""
+    from keystead.llm import queries
+
+    docs = shipped.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = markov.fit(docs)
+    keys = set(markov.ALPHABET)
+    got = {r.doc_id: r for r in queries.QUERIES["op7_secret_scan"](shipped, sf).collect()}
+    for r in docs.collect():
+        text = r.text or ""
+        base = [(m.start(), 0, m.end()) for m in markov.ASSIGN.finditer(text) if len(m[1]) >= 6]
+        base += [(m.start(), k, m.end()) for k, p in ((1, r"AKIA[A-Z0-9]{16,}"), (2, r"[0-9a-f]{24,}")) for m in re.finditer(p, text)]
+        covered = {i for a, _, b in base for i in range(a, b)}
+        spans, i = sorted(base), 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[j] in keys:
+                j += 1
+            if j - i >= 16 and markov.judged(text[i:j]) and covered.isdisjoint(range(i, j)) and markov.score(text[i:j], model[0]) > model[1]:
+                spans.append((i, 3, j))
+            i = max(j, i + 1)
+        name = lambda rows: ",".join(f"{markov.KINDS[k]}:{a}:{b}" for a, k, b in sorted(rows))
+        row = got.pop(r.doc_id)
+        assert row.spans == name(spans) and row.base_sha256 == hashlib.sha256(name(base).encode()).hexdigest()
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
+    assert not got
+
+
 def test_warc_round_trip(shipped, tmp_path):
     big = "é" * 400_000 + "\r\n\r\nWARC/1.1\r\n" + "x" * 300_000
     same = "s" * 1000
