@@ -71,9 +71,9 @@ _MATCH_SQL = f"""(s.min_price IS NULL OR l.price >= s.min_price)
     ),
 )
 def search_preview(spark, sf):
-    return matching.preview_search(V(spark, sf, "listings"), V(spark, sf, "saved_searches")).select(
-        "search_id", "id", "rank"
-    )
+    listings = V(spark, sf, "listings").select(
+        "id", "status", "created_at", "price", "bedrooms", "borough", "lat", "lng", "amenities", "undervalue_score", "rs_probability")
+    return matching.preview_search(listings, V(spark, sf, "saved_searches")).select("search_id", "id", "rank")
 
 
 @query(
