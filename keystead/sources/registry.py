@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, types as T
@@ -12,6 +13,8 @@ from . import pages as P
 
 Extractor = Callable[[DataFrame], DataFrame]
 _SOURCES: dict[str, Extractor] = {}
+#: Cards that a parser's task holds at a time.
+ROWS = 1_000
 
 
 def register_source(name: str, fn: Extractor) -> None:
@@ -68,7 +71,8 @@ def parse_pages(
 
     def run(batches):
         for pdf in batches:
-            out = [r for p, h in zip(pdf["page_id"], pdf["html"]) for r in rows(p, h)]
-            yield pd.DataFrame(out, columns=schema.names, dtype=object)
+            cards = (r for p, h in zip(pdf["page_id"], pdf["html"]) for r in rows(p, h))
+            while part := list(islice(cards, ROWS)):
+                yield pd.DataFrame(part, columns=schema.names, dtype=object)
 
     return pages.select("page_id", "html").mapInPandas(run, schema)

@@ -139,3 +139,27 @@ def test_cards_end_at_their_own_end_tag(spark):
     far = '<script type="application/ld+json">[' + ", ".join('{"@type": "Apartment", "address": "%d"}' % i for i in range(10_050)) + "]</script>"
     pos = [r.pos for r in P.zumper_items(spark.createDataFrame([(1, far + far)], "page_id long, html string")).select("pos").collect()]
     assert sorted(pos) == list(range(20_100))
+
+
+def test_page_parser_hands_on_cards_as_it_goes(spark, monkeypatch):
+    """A task holds some cards, not those of all its pages; and every card comes once, in order."""
+    from pyspark.sql import types as T
+
+    from keystead.sources import registry as R
+
+    monkeypatch.setattr(R, "ROWS", 7)
+    sizes = []
+    real = R.pd.DataFrame
+    monkeypatch.setattr(R.pd, "DataFrame", lambda rows, **kw: sizes.append(len(rows)) or real(rows, **kw))
+
+    class Pages:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            pages = real({"page_id": range(10), "html": ["x" * (i % 4) for i in range(10)]})
+            return [r for part in run(iter([pages])) for r in part[["page_id", "pos"]].itertuples(index=False, name=None)]
+
+    got = R.parse_pages(Pages(), lambda html: [lambda: {"c": "x"} for _ in html], T.StructType([T.StructField("c", T.StringType())]))
+    assert got == [(p, k) for p in range(10) for k in range(p % 4)]
+    assert max(sizes) <= 7
