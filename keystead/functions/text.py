@@ -6,7 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
-from .numbers import float_text, strip
+from .numbers import float_text, let, strip
 
 # Street-type spellings and the form they are stored in.
 STREET_TYPES = {
@@ -128,15 +128,16 @@ def parse_sqft(raw: Column) -> Column:
 
 def parse_int(raw: Column) -> Column:
     """Loose text to int: studio -> 0, else the first run of digits and commas."""
-    t = strip(raw)
-    digits = _no_commas(_first(t, r"([\d,]+)")).try_cast("int")
-    return _given(t, F.when(t.rlike(STUDIO_TEXT), F.lit(0)).otherwise(digits))
+    def parsed(t: Column) -> Column:
+        digits = _no_commas(_first(t, r"([\d,]+)")).try_cast("int")
+        return _given(t, F.when(t.rlike(STUDIO_TEXT), F.lit(0)).otherwise(digits))
+
+    return let(strip(raw), parsed)
 
 
 def parse_float(raw: Column) -> Column:
     """Loose text to double: the first run of digits and dots."""
-    t = strip(raw)
-    return _given(t, _first(t, r"([\d.]+)").try_cast("double"))
+    return let(strip(raw), lambda t: _given(t, _first(t, r"([\d.]+)").try_cast("double")))
 
 
 def absolutize(url: Column, site: str) -> Column:

@@ -96,11 +96,35 @@ def _let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
-def _balanced(rest: Column, tag: Column) -> Column:
-    """What lies before the end tag that closes an element, given all that follows its start tag.
+#: Levels of elements of one name within each other that one pattern reads; deeper ones have their tags counted.
+LEVELS = 8
 
-    The depth runs over the tags of the element's own name; without an end tag everything belongs to it.
+
+def _within(tag: str) -> str:
+    """Pattern of an element's content up to its own end tag, where the elements of its name within are all closed.
+
+    Loops are possessive: each place is read once per level, and no stack grows with the length.
     """
+    text = rf"[^<]*+(?:<(?!/?{tag}\b{_END})[^<]*+)*+"
+    content = text
+    for _ in range(LEVELS):
+        content = rf"{text}(?:<{tag}\b{_END}(?:(?<=/>)|{content}</{tag}\b{_END}){text})*+"
+    return rf"(?is)^({content})</{tag}\b{_END}"
+
+
+def _balanced(rest: Column, tag: str) -> Column:
+    """What lies before the end tag that closes an element, given all that follows its start tag."""
+    pattern = _within(tag)
+
+    def cut(r: Column) -> Column:
+        # an empty content looks like no match: the count of tags tells them apart
+        return _let(F.regexp_extract(r, pattern, 1), lambda c: F.when(c != "", c).otherwise(_counted(r, F.lit(tag))))
+
+    return _let(rest, cut)
+
+
+def _counted(rest: Column, tag: Column) -> Column:
+    """The same by the running depth over the tags of the element's own name; without an end tag everything belongs to it."""
     same = F.concat(F.lit(r"(?is)</?"), tag, F.lit(rf"\b{_END}"))
 
     def cut(r: Column) -> Column:
@@ -128,17 +152,30 @@ def _chars(parts: Column) -> Column:
 def _inner(card: Column, tag: str, *tests: str) -> Column:
     """Content of the first element that fits, up to its own end tag; '' when there is none.
 
-    Mostly the first end tag of the name is the one; tags are counted only where an element of the name lies within.
+    The card is searched once. Mostly the first end tag of the name is the one; others are looked for only where an
+    element of the name lies within.
     """
     start = rf"(?is)<{tag}\b{''.join(tests)}{_END}"
     if tag == _ANY:
-        name, plain = F.regexp_extract(card, start, 1), F.regexp_extract(card, rf"{start}(.*?)</\1\s*>", 2)
-        whole = _balanced(F.regexp_extract(card, f"{start}(.*)", 2), name)
-    else:
-        name, plain = F.lit(tag), F.regexp_extract(card, rf"{start}(.*?)</{tag}\s*>", 1)
-        whole = _balanced(F.regexp_extract(card, f"{start}(.*)", 1), name)
-    nested = lambda p: (p == "") | F.lower(p).contains(F.concat(F.lit("<"), F.lower(name)))
-    return _let(plain, lambda p: F.when(nested(p), whole).otherwise(p))
+        name = F.regexp_extract(card, start, 1)
+        found = F.regexp_extract(card, rf"{start}(.*?)</\1\s*>", 2)
+        whole = lambda: _counted(F.regexp_extract(card, f"{start}(.*)", 2), name)
+        return _let(found, lambda p: F.when(_nested(p, F.lower(name)), whole()).otherwise(p))
+
+    end = rf"</{tag}\s*>"
+
+    def content(upto: Column) -> Column:
+        plain = F.regexp_extract(upto, rf"(?is)^(.*){end}\z", 1)
+        whole = _balanced(F.regexp_extract(card, f"{start}(.*)", 1), tag)
+        return F.when(upto == "", upto).otherwise(
+            _let(plain, lambda p: F.when(_nested(p, F.lit(tag)), whole).otherwise(p)))
+
+    # with the end tag, so that an empty element differs from none
+    return _let(F.regexp_extract(card, f"{start}(.*?{end}|.*)", 1), content)
+
+
+def _nested(plain: Column, name: Column) -> Column:
+    return (plain == "") | (plain.contains("<") & F.lower(plain).contains(F.concat(F.lit("<"), name)))
 
 
 #: A character reference: decimal, hexadecimal, by name, or one of the names that may stand without their semicolon.
@@ -152,53 +189,63 @@ _CP1252 = {i: bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (
 def _looked_up(value: Column, pairs: dict) -> Column:
     """Value of a key in a table of single characters, which stands in the plan as two constants."""
     at = F.array_position(F.split(F.lit("\x1f".join(map(str, pairs))), "\x1f"), value)
-    return F.when(at > 0, F.substr(F.lit("".join(pairs.values())), at.cast("int"), F.lit(1)))
+    return _let(at, lambda i: F.when(i > 0, F.substr(F.lit("".join(pairs.values())), i.cast("int"), F.lit(1))))
 
 
 def _character(n: Column) -> Column:
     real = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
     text = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    return F.coalesce(_looked_up(n.cast("string"), _CP1252), F.when(real, text), F.lit("\ufffd"))
+    return F.coalesce(F.when(n.between(128, 159), _looked_up(n.cast("string"), _CP1252)), F.when(real, text), F.lit("\ufffd"))
 
 
 def _decoded(ref: Column) -> Column:
     number = F.regexp_extract(ref, r"^&#(\d+)", 1).try_cast("bigint")
     digits = F.nullif(F.regexp_extract(ref, r"^&#[xX]([0-9a-fA-F]+)", 1), F.lit(""))
     code = F.coalesce(number, F.conv(digits, 16, 10).try_cast("bigint"))
-    return F.when(code.isNotNull(), _character(code)).otherwise(F.coalesce(_looked_up(ref, _NAMED), ref))
+    named = F.coalesce(_looked_up(ref, _NAMED), ref)
+    return F.when(ref.startswith("&#"), _let(code, lambda n: F.when(n.isNotNull(), _character(n)).otherwise(named))).otherwise(named)
 
 
 def _unescape(c: Column) -> Column:
     """Character references decoded, each once; unknown names stay."""
     def decoded(v: Column) -> Column:
-        refs = F.transform(F.regexp_extract_all(v, F.lit(_REFERENCE), F.lit(0)), _decoded)
-        parts = F.zip_with(F.split(v, _REFERENCE, -1), refs, lambda text, ref: F.concat(text, F.coalesce(ref, F.lit(""))))
-        return F.when(v.contains("&"), F.array_join(parts, "")).otherwise(v)
+        parts = F.regexp_extract_all(v, F.lit(f"{_REFERENCE}|[^&]++|&"), F.lit(0))
+        texts = F.transform(parts, lambda p: F.when(p.startswith("&"), _decoded(p)).otherwise(p))
+        return F.when(v.contains("&"), F.array_join(texts, "")).otherwise(v)
 
     return _let(c, decoded)
 
 
 def _text(inner: Column) -> Column:
     """Stripped text nodes of an element put together."""
-    return _let(_unescape(F.regexp_replace(inner, rf"\s*<{_END}\s*", "")), strip)
+    text = _let(inner, lambda v: F.when(v.contains("<"), F.regexp_replace(v, rf"\s*<{_END}\s*", "")).otherwise(v))
+    return _let(_unescape(text), strip)
 
 
 def _value(card: Column, attr: str, tag: str, *tests: str) -> Column:
     """Attribute of the first start tag that fits; '' when there is none."""
-    start = F.regexp_extract(card, _open(tag, *tests), 0)
-    pattern = rf"(?is)\s{attr}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
-    return _unescape(F.concat(F.regexp_extract(start, pattern, 1), F.regexp_extract(start, pattern, 2)))
+    return _attr_value(F.regexp_extract(card, _open(tag, *tests), 0), attr)
+
+
+def _attr_value(start: Column, attr: str) -> Column:
+    return _unescape(F.regexp_extract(start, rf"(?is)\s{attr}\s*=\s*([\"'])(.*?)\1", 2))
+
+
+def _tags(card: Column, tag: str, *tests: str) -> Column:
+    """All start tags that fit, each without its name."""
+    return F.regexp_extract_all(card, F.lit(rf"(?is)<{tag}\b(?=({''.join(tests)}{_END}))"), F.lit(1))
 
 
 def _cards(pages: DataFrame, tag: str, *tests: str) -> DataFrame:
     """(page_id, pos, card): what lies between a card's start tag and its own end tag, or else the next card."""
     clean = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
-    clean = F.regexp_replace(clean, r"(?is)<(script|style)\b.*?</\1\s*>", "")
+    clean = _let(clean, lambda v: F.when(
+        v.rlike(r"(?i)<s(?:cript|tyle)\b"), F.regexp_replace(v, r"(?is)<(script|style)\b.*?</\1\s*>", "")).otherwise(v))
     parts = F.split(clean, _open(tag, *tests), -1)
     out = pages.withColumn("_parts", parts).select(
         "page_id", F.posexplode(F.slice("_parts", 2, F.greatest(F.size("_parts"), F.lit(1)))).alias("pos", "card")
     )
-    return out.withColumn("card", _balanced(F.col("card"), F.lit(tag)))
+    return out.withColumn("card", _balanced(F.col("card"), tag))
 
 
 def _raw(source: str, **cols: Column) -> list[Column]:
@@ -223,6 +270,15 @@ def _text_map(**parts: Column) -> Column:
     return F.create_map(*flat)
 
 
+def _shown_image(images: Column) -> Column:
+    """Source of the first active image, or else of the first one."""
+    def src(tags: Column) -> Column:
+        return F.coalesce(_attr_value(F.get(tags, F.lit(0)), "src"), F.lit(""))
+
+    active = F.filter(images, lambda t: t.rlike(rf"(?is)^{_cls(SE_ACTIVE_IMAGE)}"))
+    return _let(src(active), lambda a: F.when(a != "", a).otherwise(src(images)))
+
+
 def streeteasy_cards(pages: DataFrame) -> DataFrame:
     c = F.col("card")
     cards = _cards(pages, "div", _attr("data-testid", "listing-card"))
@@ -233,8 +289,7 @@ def streeteasy_cards(pages: DataFrame) -> DataFrame:
         "facts": F.transform(facts, lambda li: _text(_inner(li, _ANY, _cls(SE_FACT)))),
         "addr": _text(_inner(c, "a", _cls(SE_ADDRESS))),
         "href": _value(c, "href", "a", _cls(SE_ADDRESS)),
-        "active": _value(c, "src", "img", _cls(SE_IMAGE), _cls(SE_ACTIVE_IMAGE)),
-        "img": _value(c, "src", "img", _cls(SE_IMAGE)),
+        "image": _let(_tags(c, "img", _cls(SE_IMAGE)), _shown_image),
         "price_text": _text(_inner(c, "span", _cls(SE_PRICE))),
     })
 
@@ -249,7 +304,7 @@ def streeteasy_cards(pages: DataFrame) -> DataFrame:
         address=F.col("addr"),
         price=parse_price_dollars(F.col("price_text")),
         bedrooms=parse_int(fact(0)), bathrooms=parse_float(fact(1)), sqft=parse_int(fact(2)),
-        images=_one_image(F.when(F.col("active") != "", F.col("active")).otherwise(F.col("img"))),
+        images=_one_image(F.col("image")),
         raw_data=_text_map(
             title=_text(_inner(c, "p", _cls(SE_TITLE))),
             listed_by=_text(_inner(c, "p", _cls(SE_LISTED_BY))),

@@ -76,10 +76,16 @@ FRAMES = {
 
 
 def render_pages(listings: DataFrame, source: str) -> DataFrame:
-    """Result pages of one source, twenty listings in id order on each."""
+    """Result pages of one source, twenty listings in id order on each.
+
+    Listings are shuffled before their cards are made, as their rows are much smaller. The given number of partitions
+    keeps the tasks that read the pages even: their work is far more than the size of the shuffle tells.
+    """
     head, sep, tail = FRAMES[source]
+    tasks = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        listings.select((F.col("id") / PER_PAGE).cast("bigint").alias("page_id"), "id", F.expr(CARDS[source]).alias("card"))
+        listings.withColumn("page_id", (F.col("id") / PER_PAGE).cast("bigint")).repartition(tasks, "page_id")
+        .select("page_id", "id", F.expr(CARDS[source]).alias("card"))
         .groupBy("page_id")
         .agg(F.array_sort(F.collect_list(F.struct("id", "card"))).alias("cards"))
         .select(

@@ -1,5 +1,7 @@
 """Pages, feeds, tables and sinks on hand-written input."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -163,3 +165,53 @@ def test_page_parser_hands_on_cards_as_it_goes(spark, monkeypatch):
     got = R.parse_pages(Pages(), lambda html: [lambda: {"c": "x"} for _ in html], T.StructType([T.StructField("c", T.StringType())]))
     assert got == [(p, k) for p in range(10) for k in range(p % 4)]
     assert max(sizes) <= 7
+
+
+def test_cards_are_searched_once_per_value(spark):
+    """The work of a card: one search for an attribute, one for an element that is not there."""
+    card = F.col("card")
+    assert str(P._value(card, "href", "a")).count("card") == 1
+    df = spark.createDataFrame([("<p>x</p>" * 3,)], "card string")
+    looked_at = df.select(P._inner(card, "button").alias("v"))
+    plan = looked_at._jdf.queryExecution().optimizedPlan().toString()
+    assert looked_at.first().v == "" and plan.count("regexp_extract(card") <= 2  # the second only for a nested element
+
+
+def test_pages_are_made_after_the_shuffle(spark, sf):
+    """Listings are shuffled, not the markup of their cards."""
+    from keystead.sources import rendered as RD
+
+    plan = RD.render_pages(D.view(spark, sf, "listings"), "streeteasy")._jdf.queryExecution().executedPlan().toString()
+    shuffles = [i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line]
+    cards = [i for i, line in enumerate(plan.splitlines()) if "listing-card" in line]
+    assert len(shuffles) == 1 and cards and max(cards) < shuffles[0]
+
+
+def test_balanced_elements_equal_the_count_of_tags(spark):
+    """Elements nested to any depth, unclosed, closed too often, with > in quotes, look-alike names."""
+    import random
+
+    rnd = random.Random(7)
+    bits = ["<div>", "<DIV class='a > b'>", "</div>", "</div >", "</Div>", "<div/>", "<div x='/'/>", "<divider>", "<div-x>", "</p>", "<br>",
+            " a < b ", "é", "\n", "<", "'", "<p title=\"</div>\">", "<div", "text"]
+    rows = ["".join(rnd.choices(bits, k=rnd.randint(0, 40))) for _ in range(3000)]
+    rows += ["<div>" * d + "x" + "</div>" * e + "y</div>z" for d in range(14) for e in range(16)] + ["<br>t" * 200_000 + "</div>x"]
+
+    def content(s):
+        """Depth over the tags of the name, one by one."""
+        depth = 1
+        for m in re.finditer(r"""</?div\b[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""", s, re.I):
+            depth += -1 if m[0].startswith("</") else 0 if m[0].endswith("/>") else 1
+            if not depth:
+                return s[:m.start()]
+        return s
+
+    df = spark.createDataFrame([(r,) for r in rows], "card string")
+    got = df.select("card", P._balanced(F.col("card"), "div").alias("b"), P._counted(F.col("card"), F.lit("div")).alias("c")).collect()
+    assert all(r.b == r.c == content(r.card) for r in got)
+
+
+def test_references_are_decoded_once_each(spark):
+    text = "a &amp;lt; && &amp &#65;&#x42; &#128; &#1114112; &nosuch; &; &eacute;b &#xD800;&lt"
+    want = "a &lt; && & AB € � &nosuch; &; éb �<"
+    assert spark.createDataFrame([(text,), ("",), (None,)], "v string").select(P._unescape(F.col("v")).alias("v")).collect() == [(want,), ("",), (None,)]
